@@ -1,0 +1,135 @@
+"""The whole way from raw files to audited panels, on the small retail example."""
+
+from pyspark.sql import functions as F
+
+from smelter.operators import answer_questions, metric_query, panels_for_role, rollup_metric
+
+
+def by_column(run, table):
+    return {r["column"]: r for r in run.spark.read.parquet(f"{run.base}/catalog/{table}").collect()}
+
+
+def test_two_tables_landed(retail):
+    assert [c["table"] for c in retail.catalog] == ["orders", "sellers"]
+    assert retail.table("bronze", "orders").count() == 8
+    assert retail.table("bronze", "sellers").count() == 4
+    assert retail.status == "ok"
+
+
+def test_bronze_is_typed_and_blank_is_null(retail):
+    orders = retail.table("bronze", "orders")
+    assert round(orders.agg(F.sum("gmv")).first()[0], 2) == 34143.49
+    assert orders.where(F.col("customer_email").isNull()).count() == 1
+    types = {c: r["type"] for c, r in by_column(retail, "orders").items()}
+    assert types == {"order_id": "integer", "order_date": "date", "customer_email": "text", "platform": "text",
+                     "tier": "text", "gmv": "real", "items": "integer", "is_plus": "boolean"}
+
+
+def test_keys_dimensions_samples_in_catalog(retail):
+    orders = by_column(retail, "orders")
+    assert [c for c, r in sorted(orders.items()) if r["is_key"]] == ["order_id"]
+    assert {c for c, r in orders.items() if r["is_dimension"]} == {"platform", "tier", "is_plus"}
+    assert orders["platform"]["samples"] == ["App-Android", "Desktop", "App-iOS"]
+    assert orders["customer_email"]["pii_class"] == "email"
+    assert by_column(retail, "sellers")["name"]["pii_class"] == "name"
+
+
+def test_silver_keeps_all_rows_and_conforms_dates(retail):
+    silver = retail.table("silver", "orders")
+    assert silver.count() == 8
+    assert dict(silver.dtypes)["order_date"] == "date"
+
+
+def test_gold_reconciles(retail, collect):
+    fact = retail.table("gold", "agg_orders_daily")
+    assert fact.columns == ["order_date_day", "platform", "tier", "is_plus", "gmv", "items", "orders_count"]
+    total = fact.agg(F.sum("gmv").cast("double").alias("gmv"), F.sum("items").alias("items"),
+                     F.sum("orders_count").alias("n")).first()
+    assert (round(total["gmv"], 2), total["items"], total["n"]) == (34143.49, 19, 8)
+    checks = [r for r in collect(retail.audit("quality")) if " reconciles " in r["check"]]
+    assert len(checks) == 3 and all(c["result"] == "pass" for c in checks)
+
+
+def test_dimension_has_no_personal_data(retail):
+    assert retail.table("gold", "dim_sellers").columns == ["seller_id", "segment", "cancellation_rate", "active"]
+
+
+def test_proposed_and_authored_metrics(retail, collect):
+    assert [m.metric for m in retail.metrics] == ["aov", "gmv", "items", "orders"]
+    checked = {r["metric"]: r for r in collect(retail.conformance())}
+    assert all(r["result"] == "pass" for r in checked.values())
+    assert checked["aov"]["guard_ok"] is False and checked["aov"]["guard_strategy"] == "recompute"
+    assert checked["gmv"]["guard_ok"] is True and checked["gmv"]["guard_strategy"] == "sum"
+    assert "nullif(sum" in checked["aov"]["definition"]
+
+
+def test_questions_are_answered_with_receipts(retail, collect):
+    asked = ["What is total gmv?", "gmv by platform", "average order value by tier", "lowest gmv by platform",
+             "top 2 items by tier", "gmv by tier for Desktop", "how is the weather?"]
+    answers, receipts = answer_questions(retail.spark, retail.facts(), retail.metrics, asked)
+    assert sorted(answers) == [1, 2, 3, 4, 5, 6]
+    assert round(float(answers[1].first()["gmv"]), 2) == 34143.49
+    by_platform = {r["platform"]: float(r["gmv"]) for r in answers[2].collect()}
+    assert by_platform == {"App-iOS": 23498.00, "App-Android": 7498.99, "Desktop": 2198.50, "mWeb": 948.00}
+    assert [r["platform"] for r in answers[2].collect()] == ["App-iOS", "App-Android", "Desktop", "mWeb"]
+    by_tier = {r["tier"]: round(r["aov"], 2) for r in answers[3].collect()}
+    assert by_tier == {"Tier-2": 8299.00, "Metro": 4999.33, "Tier-1": 1099.25, "Tier-3": 349.00}
+    assert answers[4].first()["platform"] == "mWeb"
+    assert [r["tier"] for r in answers[5].collect()] == ["Metro", "Tier-1"]
+    assert {r["tier"]: float(r["gmv"]) for r in answers[6].collect()} == {"Tier-1": 2198.50}
+    notes = collect(receipts, "question_no")
+    assert [n["metric"] for n in notes] == ["gmv", "gmv", "aov", "gmv", "items", "gmv", None]
+    assert notes[2]["note"] == "ratio recomputed from components"
+    assert "nullif(sum" in notes[2]["definition"] and notes[2]["owner"] == "finance-cdm"
+    assert notes[5]["filters"] == [{"dim": "platform", "value": "Desktop"}]
+    assert all(n["lineage"] == ["gold.agg_orders_daily"] for n in notes[:6])
+
+
+def test_panels_and_roles(retail, collect):
+    panels = retail.spark.read.parquet(f"{retail.base}/panels")
+    kpis = {r["metric"]: r for r in collect(panels.where("kind = 'kpi'"))}
+    assert round(kpis["gmv"]["value"], 2) == 34143.49
+    assert kpis["aov"]["visible_to"] == ["admin", "analyst", "leadership"]
+    assert kpis["gmv"]["visible_to"] == ["admin", "analyst", "leadership", "viewer"]
+    breakdown = panels.where("kind = 'breakdown' and metric = 'gmv'").orderBy("rank").collect()
+    assert [r["dim_value"] for r in breakdown] == ["App-iOS", "App-Android", "Desktop", "mWeb"]
+    assert breakdown[0]["visible_to"] == ["admin", "analyst"]
+    assert {r["metric"] for r in collect(panels_for_role(panels, "viewer"))} == {"gmv", "items", "orders"}
+    assert {r["cadence"] for r in collect(panels)} == {"daily"}
+
+
+def test_governance(retail, collect):
+    report = retail.governance()
+    verdict = collect(report["verdict"])[0]
+    assert verdict == {"all_honored": True, "failed_checks": 0, "governed": True, "issues": []}
+    register = {r["column"]: r for r in collect(report["pii"])}
+    assert register["sellers.name"]["disposition"] == "dropped in gold"
+    assert register["orders.customer_email"]["disposition"].startswith("flagged")
+    assert register["sellers.name"]["first_stage"] == "bronze"
+    outputs = {r["output"].split(".")[0] for r in collect(report["outputs"])}
+    assert outputs == {"bronze", "silver", "gold", "metric", "panel"}
+    assert {r["root"] for r in collect(report["roots"])} == {"file:orders.csv", "file:sellers.json"}
+    assert all(r["honored"] for r in collect(report["contracts"]))
+    assert collect(report["conformance"])[0]["guarded"] == ["aov"]
+    total = next(r for r in collect(report["scoreboard"]) if r["stage"] == "total")
+    assert total["fail"] == 0 and total["pass"] > 10
+    policy = {r["role"]: r for r in collect(report["access_policy"])}
+    assert policy["viewer"]["hidden_owners"] == ["finance-cdm", "payments-cdm"]
+
+
+def test_monthly_ratio_is_not_the_sum_of_daily_ratios(retail):
+    fact, _ = retail.facts()["agg_orders_daily"]
+    aov = next(m for m in retail.metrics if m.metric == "aov")
+    month = rollup_metric(fact, aov, "monthly", "order_date_day").first()["aov"]
+    assert round(month, 6) == round(34143.49 / 8, 6)
+    daily = metric_query(fact, aov, "order_date_day", limit=None)
+    assert round(daily.agg(F.sum("aov")).first()[0], 2) != round(month, 2)
+
+
+def test_second_run_replaces_the_first(spark, retail_dir, tmp_path):
+    from smelter.plans.medallion import run_medallion
+    base = str(tmp_path / "again")
+    run_medallion(spark, [retail_dir], base)
+    second = run_medallion(spark, [retail_dir], base)
+    stored = spark.read.parquet(f"{base}/audit/lineage")
+    assert stored.count() == second.audit("lineage").count()
