@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import small_frame
+
 AUDIT_SCHEMAS = {
     "lineage": "stage string, stage_no int, output string, sources array<string>, logic string",
     "pii": "stage string, stage_no int, column string, class string, action string",
@@ -23,7 +25,7 @@ RESULTS = ("pass", "warn", "fail")
 
 
 def audit_frame(spark: SparkSession, kind: str, rows: Sequence[tuple] = ()) -> DataFrame:
-    return spark.createDataFrame(list(rows), AUDIT_SCHEMAS[kind])
+    return small_frame(spark, list(rows), AUDIT_SCHEMAS[kind])
 
 
 def inherit(*stages: DataFrame) -> DataFrame:
@@ -100,8 +102,7 @@ def governance_verdict(contracts: DataFrame, quality: DataFrame) -> DataFrame:
 
 
 def access_policy(spark: SparkSession, roles: Mapping[str, Mapping], restricted: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame(
-        [(role, str(spec["metrics"]), "*" if spec["dims"] == "*" else ",".join(spec["dims"]), list(spec["panels"]),
+    return small_frame(spark, [(role, str(spec["metrics"]), "*" if spec["dims"] == "*" else ",".join(spec["dims"]), list(spec["panels"]),
           list(restricted) if spec["metrics"] == "public" else []) for role, spec in roles.items()],
         "role string, metrics string, dims string, panels array<string>, hidden_owners array<string>")
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.casts import numeric_or_zero
 from ..functions.names import col
 from ..plans.contract import GoldContract
-from ..session import durable
+from ..session import durable, small_frame
 
 BIAS = "_bias"
 MAX_FEATURES = 2048  # the Gram matrix is solved on the driver; more features are refused, not cut off
@@ -87,7 +87,7 @@ def with_row_index(df: DataFrame, order: Sequence[str], index: str = "_index") -
     for row in stored.groupBy("_part").count().orderBy("_part").collect():  # one row per partition
         offsets.append((row["_part"], total))
         total += row["count"]
-    starts = df.sparkSession.createDataFrame(offsets, "_part int, _start long")
+    starts = small_frame(df.sparkSession, offsets, "_part int, _start long")
     indexed = stored.join(starts, "_part").withColumn(index, F.col("_start") + F.col("_pos"))
     return indexed.drop("_part", "_pos", "_start"), total
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.names import col
 from ..plans.metric import Metric, metric_column
 from ..sources.landing import land_table
+from ..session import small_frame
 
 # The access model. "*" is everything, "public" all but restricted owners.
 DEFAULT_ROLES = {
@@ -76,8 +77,7 @@ def panel_catalog(spark: SparkSession, metrics: Sequence[Metric], dims_by_fact:
         dims = dims_by_fact.get(m.fact, [])
         if dims:
             rows.append((f"p{len(rows) + 1}", "breakdown", m.metric, f"{title} by {dims[0]}", dims[0], m.unit, m.owner))
-    return spark.createDataFrame(
-        rows, "panel_id string, kind string, metric string, title string, dim string, unit string, owner string")
+    return small_frame(spark, rows, "panel_id string, kind string, metric string, title string, dim string, unit string, owner string")
 
 
 def refresh_panels(spark: SparkSession, facts: Mapping[str, tuple[DataFrame, Sequence[str]]],

@@ -22,6 +22,7 @@ from ..functions.predicates import (EMAIL_TEXT, FALSE_TOKENS, ID_NAME_PATTERN, P
                                     pii_class_of_name)
 from ..functions.text import is_blank, strip
 from ..plans.contract import Classification
+from ..session import small_frame
 
 _LONG = 64
 
@@ -97,7 +98,7 @@ def profile_columns(df: DataFrame, table: str = "", exact: bool = True) -> DataF
         F.max(F.when(F.col("filled"), number)).alias("highest"),
         *[c.alias(n) for n, c in _type_columns(F.col("filled"), F.col("text"), long_kind).items()])
     # The list of columns comes from the schema, so a table without rows still has a profile.
-    names = spark.createDataFrame(list(enumerate(columns)), "ordinal int, column string")
+    names = small_frame(spark, list(enumerate(columns)), "ordinal int, column string")
     rows = F.coalesce("rows", F.lit(0)).cast("long")
     nulls = F.coalesce(F.col("rows") - F.col("filled_rows"), F.lit(0)).cast("long")
     numeric = F.col("type").isin("integer", "real")
@@ -153,7 +154,7 @@ def confirm_keys(df: DataFrame, profile: DataFrame, tolerance: float = 0.9) -> D
         (F.col("rows") > 1) & (F.col("nulls") == 0) & ~F.col("type").isin("real", "boolean")
         & (F.col("distinct") >= F.col("rows") * tolerance)).orderBy("ordinal").collect()]
     spark = df.sparkSession
-    survivors = spark.createDataFrame(near, "ordinal int, column string")
+    survivors = small_frame(spark, near, "ordinal int, column string")
     if not near:
         return survivors
     columns = [c for _, c in near]
@@ -177,7 +178,7 @@ def detect_pii(df: DataFrame, profile: DataFrame, table: str, order: Sequence[st
                              F.coalesce(known, pii_class_of_name("column", patterns)).alias("class"))
     rows = by_name.orderBy("ordinal").collect()  # one row per column
     named = [(r["ordinal"], r["column"], r["class"]) for r in rows if r["class"]]
-    found = spark.createDataFrame(named, "ordinal int, column string, class string")
+    found = small_frame(spark, named, "ordinal int, column string, class string")
     open_text = {r["column"]: r["ordinal"] for r in rows if not r["class"] and r["type"] == "text"}
     if open_text:
         def like(pattern: str) -> Column:

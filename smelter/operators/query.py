@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.names import col
 from ..functions.numbers import round_metric
 from ..plans.metric import Metric, aggregation_class, metric_column, metric_definition_text
+from ..session import small_frame
 
 # Words that ask for a breakdown, a ranking, or a ranking from below.
 BREAKDOWN_WORDS = ("by ", "per ", "across ", "for each ", "grouped by ", "breakdown", "break down")
@@ -139,7 +140,7 @@ def receipts(spark: SparkSession, plans: Sequence, metrics: Sequence[Metric]) ->
                      aggregation_class(m.aggregation), list(m.lineage), metric_definition_text(m), plan["breakdown"],
                      plan["filters"], plan["order"], plan["limit"],
                      "ratio recomputed from components" if recomputed else "additive"))
-    return spark.createDataFrame(rows, RECEIPT_SCHEMA)
+    return small_frame(spark, rows, RECEIPT_SCHEMA)
 
 
 def answer_questions(spark: SparkSession, facts: Mapping[str, tuple[DataFrame, Sequence[str]]],
@@ -153,7 +154,7 @@ def answer_questions(spark: SparkSession, facts: Mapping[str, tuple[DataFrame, S
     dims = sorted({d for _, ds in facts.values() for d in ds})
     known = {r["dim"]: r["values"] for r in dim_values(list(facts.values()), cap).orderBy("dim").collect()} \
         if dims else {}
-    asked = spark.createDataFrame(list(enumerate(questions, start=1)), "question_no int, question string")
+    asked = small_frame(spark, list(enumerate(questions, start=1)), "question_no int, question string")
     by_id = {m.metric: m for m in metrics}
     plans, answers = [], {}
     for row in route_questions(asked, metrics, dims, known).orderBy("question_no").collect():

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import small_frame
+
 
 @dataclass(frozen=True)
 class Classification:
@@ -44,8 +46,7 @@ CONTRACT_SCHEMA = """
 
 
 def contracts_frame(spark: SparkSession, contracts: list[GoldContract]) -> DataFrame:
-    return spark.createDataFrame(
-        [(c.table, c.kind, c.owner, c.grain, c.dims, c.measures, c.count_col, c.measure_types, c.keys, c.dropped)
+    return small_frame(spark, [(c.table, c.kind, c.owner, c.grain, c.dims, c.measures, c.count_col, c.measure_types, c.keys, c.dropped)
          for c in contracts], CONTRACT_SCHEMA)
 
 

@@ -21,6 +21,7 @@ from ..sources.landing import land_table, upsert_stage
 from ..sources.readers import SourceError, read_raw
 from .contract import CONTRACT_SCHEMA, Classification, GoldContract, contracts_frame
 from .metric import Metric, conformance, propose_metrics, with_authored
+from ..session import pinned, small_frame
 
 # The stages and their order.
 STAGES = ("bronze", "silver", "gold", "metrics", "panels")
@@ -74,14 +75,14 @@ def _land_source(run: MedallionRun, path: str, modified: datetime, pii_extra: Ma
     kind = "document" if reader_kind(path) in ("pdf", "image", "text") else "tabular"
     raw = land_table(read_raw(run.spark, path), f"{run.base}/raw/{table}")
     profile = profiling.profile_columns(raw, table, exact)
-    profile = run.spark.createDataFrame(profile.collect(), profile.schema)  # one row per column
+    profile = pinned(profile)
     if not exact:
         confirmed = [r["column"] for r in profiling.confirm_keys(raw, profile).collect()]
         unique = F.col("column").isin(*confirmed) if confirmed else F.lit(False)
         profile = profile.withColumn("distinct", F.when(unique, F.col("rows"))
                                      .otherwise(F.least("distinct", F.greatest(F.col("rows") - 1, F.lit(1)))))
     pii = profiling.detect_pii(raw, profile, table, extra=pii_extra)
-    pii = run.spark.createDataFrame(pii.collect(), pii.schema)
+    pii = pinned(pii)
     samples = profiling.column_samples(raw)
     entries = bronze.catalog_rows(profile, samples, pii, profiling.dim_candidates(profile, pii))
     land_table(entries.withColumn("source_file", F.lit(file_name)).withColumn("kind", F.lit(kind))
@@ -171,7 +172,7 @@ def run_medallion(spark: SparkSession, paths: list[str], base: str, name: str =
     for entry in run.catalog:
         if entry["kind"] == "tabular":
             _refine(run, entry, distinct_cols)
-    land_table(contracts_frame(spark, run.contracts) if run.contracts else spark.createDataFrame([], CONTRACT_SCHEMA),
+    land_table(contracts_frame(spark, run.contracts) if run.contracts else small_frame(spark, [], CONTRACT_SCHEMA),
                f"{run.base}/contracts")
 
     run.metrics = with_authored(propose_metrics(run.contracts), list(authored), run.contracts)

@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -60,3 +63,34 @@ def durable(df):
     """Cut the lineage with a reliable checkpoint in the shared folder (survives executor loss)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_frame(spark: SparkSession, rows, schema):
+    """A DataFrame of driver-side metadata rows. It becomes a local relation: its size is known to the optimizer
+    and no job is needed to read it."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    fields = [f.name for f in schema.fields]
+
+    def plain(value, kind):
+        if value is None:
+            return None
+        if isinstance(kind, T.MapType):
+            return list(value.items())
+        if isinstance(kind, T.ArrayType):
+            return [plain(v, kind.elementType) for v in value]
+        if isinstance(kind, T.StructType):
+            named = value.asDict() if isinstance(value, T.Row) else value
+            named = dict(zip(kind.names, named)) if isinstance(named, (tuple, list)) else named
+            return {f.name: plain(named[f.name], f.dataType) for f in kind.fields}
+        return value
+
+    table = pa.Table.from_pylist(
+        [{n: plain(v, f.dataType) for n, v, f in zip(fields, row, schema.fields)} for row in rows],
+        schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)
+
+
+def pinned(df):
+    """Compute a metadata-sized result (a few rows per column, table or panel) once and keep it on the driver."""
+    return small_frame(df.sparkSession, df.collect(), df.schema)
