@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import parse_date, parse_datetime
+from .dates import trimmed_date, trimmed_datetime
 from .predicates import FALSE_TOKENS, TRUE_TOKENS
 from .text import _as_column, blank_to_null
 
@@ -21,9 +21,9 @@ SPARK_TYPES = {
 }
 
 
-def coerce(c: Column | str, logical_type: str) -> Column:
-    """Cast trimmed text to the logical type; blank or unfit values are NULL."""
-    value = blank_to_null(c)
+def coerce(c: Column | str, logical_type: str, trimmed: bool = False) -> Column:
+    """Cast text to the logical type; blank or unfit values are NULL. ``trimmed`` text has no blanks to remove."""
+    value = _as_column(c) if trimmed else blank_to_null(c)
     if logical_type == "integer":
         # "3.0" and "1e3" also name integers; the fractional part is cut off.
         return (F.when(value.rlike("[.eE]"), value.try_cast("double").try_cast("bigint"))
@@ -36,9 +36,9 @@ def coerce(c: Column | str, logical_type: str) -> Column:
         token = F.lower(value)
         return F.when(token.isin(*TRUE_TOKENS), True).when(token.isin(*FALSE_TOKENS), False)
     if logical_type == "date":
-        return parse_date(value)
+        return F.coalesce(trimmed_date(value), trimmed_datetime(value).cast("date"))
     if logical_type == "datetime":
-        return parse_datetime(value)
+        return trimmed_datetime(value)
     if logical_type == "text":
         return value
     raise ValueError(f"unknown logical type {logical_type!r}")

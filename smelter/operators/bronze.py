@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casts import coerce
-from ..functions.names import REJECTED, TECHNICAL, col
+from ..functions.names import REJECTED, TECHNICAL, col, data_columns
 from ..functions.text import blank_to_null
 
 
@@ -24,6 +24,10 @@ def cast_bronze(df: DataFrame, types: Mapping[str, str], keep_rejected: bool = F
     Dates stay text here (silver conforms them), so that rows are compared as they arrived. With
     ``keep_rejected`` a map column holds every value that did not fit the type of its column.
     """
+    data = data_columns(df)
+    # Trim in a projection of its own: each value is trimmed once, however often the casts look at it.
+    raw = df.select(*[col(c).cast("string").alias(c) if c in data else col(c) for c in df.columns])
+    text = raw.select(*[blank_to_null(c).alias(c) if c in data else col(c) for c in df.columns])
     out: list[Column] = []
     rejected: list[Column] = []
     for name in df.columns:
@@ -32,16 +36,15 @@ def cast_bronze(df: DataFrame, types: Mapping[str, str], keep_rejected: bool = F
             continue
         logical = types.get(name, "text")
         stored = "text" if logical in ("date", "datetime") else logical
-        value = coerce(col(name).cast("string"), stored)
+        value = coerce(name, stored, trimmed=True)
         out.append(value.alias(name))
         if keep_rejected and stored != "text":
-            text = blank_to_null(col(name).cast("string"))
-            rejected.append(F.when(text.isNotNull() & value.isNull(), F.struct(F.lit(name), text)))
+            rejected.append(F.when(col(name).isNotNull() & value.isNull(), F.struct(F.lit(name).alias("column"), col(name).alias("value"))))
     if keep_rejected:
         pairs = (F.array_compact(F.array(*rejected)) if rejected
-                 else F.from_json(F.lit("[]"), "array<struct<col1:string,col2:string>>"))
+                 else F.from_json(F.lit("[]"), "array<struct<column:string,value:string>>"))
         out.append(F.map_from_entries(pairs).alias(REJECTED))
-    return df.select(*out)
+    return text.select(*out)
 
 
 def catalog_rows(profile: DataFrame, samples: DataFrame, pii: DataFrame, dims: DataFrame) -> DataFrame:

@@ -15,12 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.dates import is_date, is_datetime
+from ..functions.dates import COMPACT, DAY_FIRST, MONTH_FIRST, YEAR_FIRST, is_datetime, trimmed_date
 from ..functions.names import ROW_ID, SOURCE_FILE, col, data_columns
-from ..functions.predicates import (EMAIL_TEXT, FALSE_TOKENS, ID_NAME_PATTERN, PHONE_TEXT, PII_NAME_PATTERNS,
-                                    TRUE_TOKENS, WORD_TOKENS, is_id_like, is_integer_text, is_real_text,
-                                    pii_class_of_name)
-from ..functions.text import is_blank, strip
+from ..functions.predicates import (EMAIL_TEXT, ID_NAME_PATTERN, PHONE_TEXT, PII_NAME_PATTERNS, WORD_TOKENS,
+                                    is_id_like, is_integer_text, is_real_text, pii_class_of_name)
+from ..functions.text import blank_to_null, is_blank, strip
 from ..plans.contract import Classification
 from ..session import small_frame
 
@@ -33,33 +32,35 @@ def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return numbered.unpivot([], [str(i) for i in range(len(columns))], "at", "value")
 
 
-def _all_of(flag: Column) -> Column:
-    return F.coalesce(F.bool_and(flag), F.lit(False))
+# What a value can be read as, as bits: a column fits a type when all its filled values have the bit.
+_INTEGER, _REAL, _BOOLEAN, _WORD, _DATETIME, _DATE = 1, 2, 4, 8, 16, 32
 
 
-def _type_columns(filled: Column, text: Column, long_kind: Column) -> dict[str, Column]:
-    """Per column: do all filled values fit each type? ``long_kind`` is 1 / 2 for long integer / real text."""
-    short = long_kind.isNull()
+def _readings(text: Column) -> Column:
+    """The readings of one trimmed value. The first character decides which patterns are tried at all, so plain
+    text costs no pattern, and a date parser runs only on a value of that shape."""
+    numeral = (text >= "+") & (text < ":")  # + , - . / and the digits
+    whole = (F.when(F.length(text) == 1, F.when(text.isin("0", "1"), _INTEGER + _REAL + _BOOLEAN))
+             .when(trimmed_date(text, [COMPACT]).isNotNull(), _INTEGER + _REAL + _DATE))
     token = F.lower(text)
+    return (F.when(numeral,
+                   F.when(is_integer_text(text), F.coalesce(whole, F.lit(_INTEGER + _REAL)))
+                   .when(is_real_text(text), _REAL)
+                   .when(F.length(text) <= 10,
+                         F.when(trimmed_date(text, [YEAR_FIRST, DAY_FIRST, MONTH_FIRST]).isNotNull(), _DATE).otherwise(0))
+                   .when(is_datetime(text), _DATETIME).otherwise(0))
+            .when(F.length(text) > 5, 0)
+            .when(token.isin(*WORD_TOKENS), _BOOLEAN + _WORD).otherwise(0))
 
-    def over_filled(test: Column) -> Column:
-        return _all_of(F.when(filled, test))
 
-    return {
-        "all_integer": over_filled(F.when(short, is_integer_text(text)).otherwise(long_kind == 1)),
-        "all_real": over_filled(F.when(short, is_real_text(text)).otherwise(long_kind >= 1)),
-        "all_boolean": over_filled(short & token.isin(*TRUE_TOKENS, *FALSE_TOKENS)),
-        "any_word": F.coalesce(F.bool_or(F.when(filled, short & token.isin(*WORD_TOKENS))), F.lit(False)),
-        "all_datetime": over_filled(short & is_datetime(text)),
-        "all_date": over_filled(short & is_date(text)),
-    }
-
-
-def _type_rule() -> Column:
+def _type_rule(common: Column, any_reading: Column) -> Column:
     """Precedence: boolean (needs a word token), integer, real, datetime, date, text."""
-    return (F.when(F.col("all_boolean") & F.col("any_word"), "boolean")
-            .when(F.col("all_integer"), "integer").when(F.col("all_real"), "real")
-            .when(F.col("all_datetime"), "datetime").when(F.col("all_date"), "date").otherwise("text"))
+    def has(mask: Column, bit: int) -> Column:
+        return mask.bitwiseAND(F.lit(bit)) != 0
+
+    return (F.when(has(common, _BOOLEAN) & has(any_reading, _WORD), "boolean")
+            .when(has(common, _INTEGER), "integer").when(has(common, _REAL), "real")
+            .when(has(common, _DATETIME), "datetime").when(has(common, _DATE), "date").otherwise("text"))
 
 
 def profile_columns(df: DataFrame, table: str = "", exact: bool = True) -> DataFrame:
@@ -70,40 +71,43 @@ def profile_columns(df: DataFrame, table: str = "", exact: bool = True) -> DataF
     """
     columns = data_columns(df)
     spark = df.sparkSession
-    long = F.length("value") > _LONG
-    text = strip("value")
-    keyed = _cells(df, columns).select(
-        F.col("at").cast("int").alias("ordinal"),
-        F.when(long, F.sha2("value", 256)).otherwise(F.col("value")).alias("key"),
-        F.when(long, F.when(is_blank("value"), 3).when(is_integer_text(text), 1).when(is_real_text(text), 2)
-               .otherwise(0)).alias("long_kind"),
-        F.when(long & is_real_text(text), text.try_cast("double")).alias("long_number"))
+    cells = _cells(df, columns).select(F.col("at").cast("int").alias("ordinal"), "value",
+                                       (F.octet_length("value") > _LONG).alias("long"))
+    # A long value is reduced to its digest and what it can be read as: a number, or nothing.
+    digit_text = F.when(F.col("long"), strip("value"))
+    keyed = cells.select(
+        "ordinal", F.when(F.col("long"), F.sha2("value", 256)).otherwise(F.col("value")).alias("key"),
+        F.when(F.col("long"), F.when(digit_text == "", -1).when(is_integer_text(digit_text), _INTEGER + _REAL)
+               .when(is_real_text(digit_text), _REAL).otherwise(0)).alias("long_readings"),
+        F.when(is_real_text(digit_text), digit_text.try_cast("double")).alias("long_number"))
     if exact:
-        values = keyed.groupBy("ordinal", "key", "long_kind", "long_number").agg(F.count(F.lit(1)).alias("n"))
+        values = keyed.groupBy("ordinal", "key", "long_readings", "long_number").agg(F.count(F.lit(1)).alias("n"))
     else:
         values = keyed.withColumn("n", F.lit(1).cast("long"))
-    long_kind = F.col("long_kind")
-    trimmed = strip("key")
-    filled = F.when(long_kind.isNull(), ~is_blank("key")).otherwise(long_kind != 3)
-    number = F.coalesce("long_number", F.when(is_real_text("text"), F.col("text").try_cast("double")))
-    values = values.select("ordinal", "key", "long_kind", "long_number", "n", filled.alias("filled"),
-                           trimmed.alias("text"))
-    distinct = (F.count(F.when(F.col("filled"), F.lit(1))) if exact
-                else F.approx_count_distinct(F.when(F.col("filled"), F.col("key")), 0.02))
+    text = F.when(F.col("long_readings").isNull(), blank_to_null("key")).alias("text")
+    values = values.select("ordinal", "key", "long_readings", "long_number", "n", text)
+    values = values.select(
+        "ordinal", "key", "long_number", "n", "text",
+        F.when(F.col("text").isNotNull(), _readings(F.col("text"))).otherwise(F.nullif("long_readings", F.lit(-1)))
+        .alias("readings"))
+    values = values.select(
+        "ordinal", "n", "readings", F.when(F.col("readings").isNotNull(), F.col("key")).alias("key"),
+        F.when(F.col("readings").bitwiseAND(F.lit(_REAL)) != 0,
+               F.coalesce("long_number", F.col("text").try_cast("double"))).alias("number"))
     stats = values.groupBy("ordinal").agg(
         F.sum("n").alias("rows"),
-        F.sum(F.when(F.col("filled"), F.col("n")).otherwise(0)).alias("filled_rows"),
-        distinct.alias("distinct"),
-        F.min(F.when(F.col("filled"), number)).alias("lowest"),
-        F.max(F.when(F.col("filled"), number)).alias("highest"),
-        *[c.alias(n) for n, c in _type_columns(F.col("filled"), F.col("text"), long_kind).items()])
+        F.sum(F.when(F.col("readings").isNotNull(), F.col("n")).otherwise(0)).alias("filled_rows"),
+        (F.count("key") if exact else F.approx_count_distinct("key", 0.02)).alias("distinct"),
+        F.min("number").alias("lowest"), F.max("number").alias("highest"),
+        F.bit_and("readings").alias("common"), F.bit_or("readings").alias("any_reading"))
     # The list of columns comes from the schema, so a table without rows still has a profile.
     names = small_frame(spark, list(enumerate(columns)), "ordinal int, column string")
     rows = F.coalesce("rows", F.lit(0)).cast("long")
     nulls = F.coalesce(F.col("rows") - F.col("filled_rows"), F.lit(0)).cast("long")
     numeric = F.col("type").isin("integer", "real")
     return (names.join(stats, "ordinal", "left")
-            .withColumn("type", F.when(F.coalesce("filled_rows", F.lit(0)) == 0, "text").otherwise(_type_rule()))
+            .withColumn("type", F.when(F.coalesce("filled_rows", F.lit(0)) == 0, "text")
+                        .otherwise(_type_rule(F.col("common"), F.col("any_reading"))))
             .select(F.lit(table).alias("table"), "ordinal", "column", "type", rows.alias("rows"), nulls.alias("nulls"),
                     F.coalesce(F.round(F.try_divide(nulls.cast("double"), rows.cast("double")), 4), F.lit(0.0))
                     .alias("null_pct"),

@@ -92,31 +92,34 @@ def route_questions(questions: DataFrame, metrics: Sequence[Metric], dims: Seque
     construction and becomes part of the expressions: the questions are mapped in place, without a join.
     ``whole_words=False`` lets a value match inside a longer word.
     """
-    q = F.lower(col(question))
+    q = F.col("_q")
     terms = [(t.lower().strip(), m.metric) for m in metrics for t in (m.metric, m.label or "")]
     asks_breakdown = _has_any(q, BREAKDOWN_WORDS + TOP_WORDS + BOTTOM_WORDS)
     breakdown = F.when(asks_breakdown, _longest(q, [(d.lower(), d) for d in dims]))
 
-    text = _phrase(col(question)) if whole_words else q
     filters = []
     for dim, vocabulary in values.items():
         spelled = [(v, _phrase_literal(v) if whole_words else v.lower()) for v in vocabulary]
         spelled = [(v, s) for v, s in spelled if s.strip()]
-        if not spelled:
-            continue
-        terms_array = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(s).alias("term")) for v, s in spelled])
-        hits = F.filter(terms_array, lambda t: F.contains(text, t["term"]))
-        first = F.get(hits, F.lit(0))["value"]
-        filters.append(F.when(first.isNotNull(), F.struct(F.lit(dim).alias("dim"), first.alias("value"))))
-    plan_filters = (F.array_compact(F.array(*filters)) if filters
-                    else F.from_json(F.lit("[]"), "array<struct<dim:string,value:string>>"))
-    asked = F.regexp_extract(q, r"(top|bottom)\s+(\d{1,9})", 2).try_cast("int")
-    routed = questions.withColumn("metric", _longest(q, terms)).withColumn("breakdown", breakdown)
-    return (routed.withColumn("filters", plan_filters)
-            .withColumn("order", F.when(_has_any(q, BOTTOM_WORDS), "asc").otherwise("desc"))
-            .withColumn("limit", F.coalesce(F.nullif(asked, F.lit(0)),
-                                            F.when(F.col("breakdown").isNotNull(), DEFAULT_LIMIT)))
-            .withColumn("answered", F.col("metric").isNotNull()))
+        if spelled:
+            first = F.coalesce(*[F.when(F.col("_text").contains(s), F.lit(v)) for v, s in spelled])
+            filters.append((dim, first))
+    asked = F.nullif(F.regexp_extract(q, r"(top|bottom)\s+(\d{1,9})", 2), F.lit("")).try_cast("int")
+    found = [F.col(f"_f{i}") for i in range(len(filters))]
+    plan_filters = (F.array_compact(F.array(*[
+        F.when(value.isNotNull(), F.struct(F.lit(dim).alias("dim"), value.alias("value")))
+        for (dim, _), value in zip(filters, found)])) if filters
+        else F.from_json(F.lit("[]"), "array<struct<dim:string,value:string>>"))
+    # The lower-cased text is made once; one column per dimension keeps the generated methods small.
+    routed = questions.withColumns({
+        "_q": F.lower(col(question)), "_text": _phrase(col(question)) if whole_words else F.lower(col(question))})
+    routed = routed.withColumns({"metric": _longest(q, terms), "breakdown": breakdown,
+                                 "order": F.when(_has_any(q, BOTTOM_WORDS), "asc").otherwise("desc"), "_asked": asked,
+                                 **{f"_f{i}": first for i, (_, first) in enumerate(filters)}})
+    return routed.select(
+        *[col(c) for c in questions.columns], "metric", "breakdown", plan_filters.alias("filters"), "order",
+        F.coalesce(F.nullif("_asked", F.lit(0)), F.when(F.col("breakdown").isNotNull(), DEFAULT_LIMIT)).alias("limit"),
+        F.col("metric").isNotNull().alias("answered"))
 
 
 RECEIPT_SCHEMA = """

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.dates import parse_date, parse_datetime
 from ..functions.names import ROW_ID, SOURCE_FILE, TECHNICAL, col, data_columns
+from ..functions.casts import coerce
 from ..functions.text import blank_to_null
 
 
@@ -37,10 +37,8 @@ def dedupe_all(df: DataFrame) -> DataFrame:
 def _clean(name: str, logical: str) -> Column:
     if logical == "text":
         return blank_to_null(name).alias(name)
-    if logical == "date":
-        return parse_date(name).alias(name)
-    if logical == "datetime":
-        return parse_datetime(name).alias(name)
+    if logical in ("date", "datetime"):  # bronze has trimmed them
+        return coerce(name, logical, trimmed=True).alias(name)
     return col(name)
 
 

@@ -22,7 +22,7 @@ def reader_kind(path: str) -> str | None:
 def discover_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Supported files below the paths (folders are walked recursively), with size and modification time.
 
-    Only the file listing is read: the content column is never selected.
+    Only the file listing is read: the content column is never selected. Spark leaves out empty files.
     """
     listings = [spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p)
                 .select("path", "modificationTime", "length") for p in paths]

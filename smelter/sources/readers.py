@@ -121,12 +121,14 @@ def _first_seen_order(records: DataFrame, struct: T.StructType) -> T.StructType:
     return arrange(struct, "$")
 
 
-def _from_records(records: DataFrame, inferred: T.StructType) -> DataFrame:
+def _from_records(records: DataFrame, inferred: T.StructType, unquoted: bool = False) -> DataFrame:
     """Parse JSON record texts with a text schema and flatten them; keep damaged records for inspection."""
     fields = [f for f in inferred.fields if f.name != CORRUPT]
     if not fields:
-        return records.select(F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), "record", F.lit("}")), "$.v"),
-                                         F.lit("")).alias("value"), SOURCE_FILE, ROW_ID)
+        # Bare scalars. Elements of a document are already unquoted, lines are not.
+        value = F.col("record") if unquoted else F.get(
+            F.from_json(F.concat(F.lit("["), "record", F.lit("]")), "array<string>"), F.lit(0))
+        return records.select(value.alias("value"), SOURCE_FILE, ROW_ID)
     ordered = _first_seen_order(records, T.StructType(fields))
     schema = _as_text_schema(ordered).add(CORRUPT, T.StringType())
     parsed = records.select(
@@ -171,7 +173,7 @@ def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     else:
         raise SourceError("the JSON root must be an array or an object")
     records = whole.select(SOURCE_FILE, F.posexplode(elements).alias(ROW_ID, "record"))
-    return _from_records(records.withColumn(ROW_ID, F.col(ROW_ID).cast("long")), inferred)
+    return _from_records(records.withColumn(ROW_ID, F.col(ROW_ID).cast("long")), inferred, unquoted=True)
 
 
 # --- XML ---------------------------------------------------------------------
