@@ -40,7 +40,7 @@ def lineage_outputs(lineage: DataFrame) -> DataFrame:
 def lineage_roots(lineage: DataFrame) -> DataFrame:
     """Sources that nothing in the lineage produces."""
     sources = lineage.select(F.explode("sources").alias("root")).distinct()
-    return sources.join(lineage.select(F.col("output").alias("root")), "root", "left_anti")
+    return sources.join(lineage_outputs(lineage).withColumnRenamed("output", "root"), "root", "left_anti")
 
 
 def pii_disposition(pii: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.casts import numeric_or_zero
 from ..functions.names import col
@@ -74,11 +75,12 @@ class LinearModel:
 def with_row_index(df: DataFrame, order: Sequence[str], index: str = "_index") -> tuple[DataFrame, int]:
     """Number all rows 0..n-1 in the given order without a single-task sort; returns the rows and n.
 
-    Rows are range-partitioned on all order columns (a heavy leading value is split by the others), numbered
-    within their partition, and shifted by the sizes of the partitions before. The partitioning is stored
-    once, so a lost task cannot change it between the two uses.
+    Rows are range-partitioned on all order columns (a heavy leading value is split by the others, and equal
+    order values by a hash of the row), numbered within their partition, and shifted by the sizes of the
+    partitions before. The partitioning is stored once, so a lost task cannot change it between the two uses.
     """
-    ordering = [col(c).asc_nulls_first() for c in order]
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    ordering = [*[col(c).asc_nulls_first() for c in order], F.xxhash64(*[col(c) for c in hashable]).asc()]
     ranged = (df.repartitionByRange(*ordering).sortWithinPartitions(*ordering)
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK))))
@@ -111,7 +113,8 @@ def category_vocabulary(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
                                                                                       "value")
     values = cells.where(F.col("value").isNotNull()).distinct()
     bounds = values.groupBy("column").agg(F.min("value").alias("lowest"), F.count(F.lit(1)).alias("n"))
-    return values.join(bounds, "column").select(
+    # One row per categorical column, so broadcasting it is safe however many values there are.
+    return values.join(F.broadcast(bounds), "column").select(
         "column", "value", ((F.col("value") == F.col("lowest")) & (F.col("n") > 1)).alias("is_baseline"))
 
 

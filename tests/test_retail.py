@@ -124,12 +124,3 @@ def test_monthly_ratio_is_not_the_sum_of_daily_ratios(retail):
     assert round(month, 6) == round(34143.49 / 8, 6)
     daily = metric_query(fact, aov, "order_date_day", limit=None)
     assert round(daily.agg(F.sum("aov")).first()[0], 2) != round(month, 2)
-
-
-def test_second_run_replaces_the_first(spark, retail_dir, tmp_path):
-    from smelter.plans.medallion import run_medallion
-    base = str(tmp_path / "again")
-    run_medallion(spark, [retail_dir], base)
-    second = run_medallion(spark, [retail_dir], base)
-    stored = spark.read.parquet(f"{base}/audit/lineage")
-    assert stored.count() == second.audit("lineage").count()
