@@ -36,6 +36,7 @@ def plan_of(spark, name):
 
 
 def test_filters_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = plan_of(spark, "query_filtered_topn")
     assert "EqualTo(o_orderstatus,F)" in plan and "EqualTo(o_orderpriority,1-URGENT)" in plan
     assert "TakeOrderedAndProject" in plan
