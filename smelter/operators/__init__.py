@@ -1,6 +1,6 @@
 from .audit import (AUDIT_SCHEMAS, access_policy, audit_frame, conformance_summary, contract_rows, governance_report,
-                    governance_verdict, inherit, lineage_outputs, lineage_roots, pii_disposition, pii_register,
-                    quality_scoreboard)
+                    governance_verdict, inherit, lineage_outputs, lineage_roots, model_rows, pii_disposition,
+                    pii_register, quality_scoreboard, report_rows)
 from .bronze import attach_pii_flags, catalog_rows, cast_bronze, wide_integer_types
 from .gold import (build_daily_fact, conform_dimension, reconcile, reconcile_rows, write_fact)
 from .learn import (LinearModel, build_features, build_schema, category_vocabulary, evaluate, fit_ridge, gram_cells,

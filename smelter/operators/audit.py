@@ -101,6 +101,31 @@ def governance_verdict(contracts: DataFrame, quality: DataFrame) -> DataFrame:
                           F.concat("broken", F.coalesce(failed, F.array().cast("array<string>"))).alias("issues"))
 
 
+def report_rows(receipts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lineage (metric to report) and quality (was it answered?) of the receipts of a list of questions."""
+    number = F.col("question_no").cast("string")
+    lineage = receipts.where("answered").select(
+        F.concat(F.lit("report.q"), number).alias("output"), F.array(F.concat(F.lit("metric."), "metric")).alias("sources"),
+        F.concat("aggregation", F.lit(" over gold; "), "note").alias("logic"))
+    quality = receipts.select(
+        F.concat(F.lit("Q"), number, F.lit(" answered")).alias("check"),
+        F.when(F.col("answered"), "pass").otherwise("warn").alias("result"),
+        F.coalesce("metric", F.lit("no metric matches")).alias("detail"))
+    return lineage, quality
+
+
+def model_rows(evaluation: DataFrame, target: str, trained_on: str) -> tuple[DataFrame, DataFrame]:
+    """Lineage (gold to model) and quality of a fitted model: a warning when held-out R2 is negative or undefined."""
+    test = evaluation.where("split = 'test'")
+    lineage = test.select(F.lit(f"model.{target}").alias("output"), F.array(F.lit(trained_on)).alias("sources"),
+                          F.lit(f"ridge regression of {target}").alias("logic"))
+    quality = test.select(F.lit(f"model predicts {target}").alias("check"),
+                          F.when(F.col("r2") >= 0, "pass").otherwise("warn").alias("result"),
+                          F.concat_ws(" ", F.lit("test R2"), F.col("r2").cast("string"), F.lit("RMSE"),
+                                      F.col("rmse").cast("string")).alias("detail"))
+    return lineage, quality
+
+
 def access_policy(spark: SparkSession, roles: Mapping[str, Mapping], restricted: Sequence[str]) -> DataFrame:
     return small_frame(spark, [(role, str(spec["metrics"]), "*" if spec["dims"] == "*" else ",".join(spec["dims"]), list(spec["panels"]),
           list(restricted) if spec["metrics"] == "public" else []) for role, spec in roles.items()],

@@ -10,21 +10,21 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import table_ident
-from ..operators import audit, bronze, gold, panels, profiling, silver
+from ..operators import audit, bronze, gold, learn, panels, profiling, query, silver
 from ..sources.discover import reader_kind, source_list
-from ..sources.landing import land_table, upsert_stage
+from ..sources.landing import land_table, save_json, upsert_stage
 from ..sources.readers import SourceError, read_raw
-from .contract import CONTRACT_SCHEMA, Classification, GoldContract, contracts_frame
-from .metric import Metric, conformance, propose_metrics, with_authored
+from .contract import CONTRACT_SCHEMA, Classification, GoldContract, contracts_frame, pick_fact
+from .metric import Metric, auto_questions, conformance, propose_metrics, version_metrics, with_authored
 from ..session import pinned, small_frame
 
 # The stages and their order.
-STAGES = ("bronze", "silver", "gold", "metrics", "panels")
+STAGES = ("bronze", "silver", "gold", "metrics", "reports", "panels", "model")
 
 
 @dataclass
@@ -66,6 +66,47 @@ class MedallionRun:
     def status(self) -> str:
         return "partial" if self.skipped else "ok"
 
+    def _replace(self, stage: str, lineage: DataFrame, quality: DataFrame) -> None:
+        """Audit rows of a stage that may run again: its earlier rows go."""
+        for kind in ("lineage", "quality"):
+            self.audit_rows[kind] = [r for r in self.audit_rows[kind] if r[0] != stage]
+        for r in lineage.collect():
+            self.note("lineage", stage, r["output"], list(r["sources"]), r["logic"])
+        for r in quality.collect():
+            self.note("quality", stage, r["check"], r["result"], r["detail"])
+        self.seal()
+
+    def ask(self, questions: Sequence[str], save: bool = True) -> tuple[dict[int, DataFrame], DataFrame]:
+        """Answer questions over the governed metrics, with receipts and audit rows; ``save`` also writes both as
+        JSON below ``reports``. Without questions the default ones are asked."""
+        dims = sorted({d for _, ds in self.facts().values() for d in ds})
+        asked = list(questions) or auto_questions(self.metrics, dims)
+        answers, receipts = query.answer_questions(self.spark, self.facts(), self.metrics, asked)
+        self._replace("reports", *audit.report_rows(receipts))
+        if save:
+            save_json(receipts, f"{self.base}/reports/receipts")
+            for number, answer in answers.items():
+                save_json(answer, f"{self.base}/reports/q{number}")
+        return answers, receipts
+
+    def learn(self, target: str | None = None, fact: str | None = None, lam: float = 1.0):
+        """Fit a ridge regression on a gold fact (default: the one with most measures); returns model and metrics."""
+        contract = pick_fact(self.contracts, fact)
+        model, evaluation = learn.train(self.table("gold", contract.table), contract, target, lam)
+        evaluation = pinned(evaluation)
+        self._replace("model", *audit.model_rows(evaluation, model.schema.target, model.trained_on))
+        return model, evaluation
+
+    def seal(self) -> None:
+        """Work out each stage's contract from its checks and store the audit tables."""
+        quality = self.audit("quality")
+        self.audit_rows["contract"] = [
+            (c["stage"], c["stage_no"], c["name"], c["honored"], c["violations"])
+            for c in audit.contract_rows(quality, self.name).orderBy("stage_no").collect()]
+        for kind in audit.AUDIT_SCHEMAS:
+            if self.audit_rows[kind]:
+                upsert_stage(self.audit(kind), f"{self.base}/audit/{kind}")
+
 
 def _land_source(run: MedallionRun, path: str, modified: datetime, pii_extra: Mapping[str, str], exact: bool,
                  owner: str) -> None:
@@ -151,6 +192,14 @@ def _refine(run: MedallionRun, entry: dict, distinct_cols: Sequence[str]) -> Non
              f"silver {rows['silver_rows']} gold {rows['gold_rows']}")
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table of an earlier run, held on the driver since its path is about to be overwritten; None if absent."""
+    try:
+        return pinned(spark.read.parquet(path))
+    except AnalysisException:
+        return None
+
+
 def run_medallion(spark: SparkSession, paths: list[str], base: str, name: str = "run",
                   authored: Sequence[Metric] = (), pii_extra: Mapping[str, str] | None = None,
                   distinct_cols: Sequence[str] = (), exact_profile: bool = True,
@@ -175,15 +224,18 @@ def run_medallion(spark: SparkSession, paths: list[str], base: str, name: str =
     land_table(contracts_frame(spark, run.contracts) if run.contracts else small_frame(spark, [], CONTRACT_SCHEMA),
                f"{run.base}/contracts")
 
-    run.metrics = with_authored(propose_metrics(run.contracts), list(authored), run.contracts)
+    defined = with_authored(propose_metrics(run.contracts), list(authored), run.contracts)
+    run.metrics, store = version_metrics(spark, defined, _stored(spark, f"{run.base}/metrics"))
+    land_table(store, f"{run.base}/metrics")
     facts = run.facts()
-    for r in run.conformance().orderBy("metric").collect():
+    checked = run.conformance().orderBy("metric").collect()
+    for r in checked:
         metric = next(m for m in run.metrics if m.metric == r["metric"])
         run.note("lineage", "metrics", f"metric.{r['metric']}", [f"gold.{metric.fact}"],
-                 f"{r['aggregation']} ({r['class']})")
+                 f"{r['aggregation']} ({r['class']}) {metric.version}")
         run.note("quality", "metrics", f"metric {r['metric']} conforms", r["result"],
                  r["error"] or r["definition"] or ", ".join(r["issues"]))
-    sound = {r["metric"] for r in run.conformance().where(F.col("result") == "pass").collect()}
+    sound = {r["metric"] for r in checked if r["result"] == "pass"}
     usable = [m for m in run.metrics if m.metric in sound]
     if usable:
         shown = panels.refresh_panels(spark, facts, usable, f"{run.base}/panels", cadence)
@@ -191,10 +243,5 @@ def run_medallion(spark: SparkSession, paths: list[str], base: str, name: str =
             run.note("lineage", "panels", f"panel.{p['panel_id']}", [f"metric.{p['metric']}"],
                      f"{p['kind']} panel for {', '.join(p['visible_to'])}")
         run.note("quality", "panels", "panels built", "pass", f"{len(usable)} metrics")
-    quality = run.audit("quality")
-    for c in audit.contract_rows(quality, name).orderBy("stage_no").collect():
-        run.audit_rows["contract"].append((c["stage"], c["stage_no"], c["name"], c["honored"], c["violations"]))
-    for kind in audit.AUDIT_SCHEMAS:
-        if run.audit_rows[kind]:
-            upsert_stage(run.audit(kind), f"{run.base}/audit/{kind}")
+    run.seal()
     return run
