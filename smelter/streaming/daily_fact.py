@@ -19,12 +19,17 @@ BATCH = "_batch"
 
 def stream_daily_fact(stream: DataFrame, ts: str, dims: Sequence[str], measures: Sequence[str], name: str,
                       watermark: str = "1 day") -> DataFrame:
-    """The daily fact of a stream: day x dims, summed measures, ``<name>_count``. Needs session time zone UTC for
-    UTC days."""
-    timed = stream.withColumn("_ts", col(ts).cast("timestamp")).withWatermark("_ts", watermark)
+    """The daily fact of a stream: day x dims, summed measures, ``<name>_count``.
+
+    Day windows are aligned to UTC, so the wall-clock time is carried as UTC and read back: days are those of the
+    session time zone, as in the batch fact.
+    """
+    wall = F.convert_timezone(F.lit("UTC"), F.current_timezone(), col(ts).cast("timestamp_ntz"))
+    timed = stream.withColumn("_ts", wall.cast("timestamp")).withWatermark("_ts", watermark)
+    start = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("window.start").cast("timestamp_ntz"))
     return (timed.groupBy(F.window("_ts", "1 day"), *[col(d) for d in dims])
             .agg(*[F.sum(col(m)).alias(m) for m in measures], F.count(F.lit(1)).alias(f"{name}_count"))
-            .withColumn(f"{ts}_day", F.to_date(F.col("window.start")))
+            .withColumn(f"{ts}_day", F.to_date(start))
             .select(f"{ts}_day", *dims, *measures, f"{name}_count"))
 
 

@@ -392,7 +392,14 @@ def test_model_recovers_the_truth(daily_sales):
 
 # --- streaming ---------------------------------------------------------------
 
-def test_drained_stream_equals_batch(spark, skewed, tmp_path):
+@pytest.fixture(params=["UTC", "America/New_York"])
+def zone(spark, request):
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_drained_stream_equals_batch(spark, skewed, tmp_path, zone):
     src, log = str(tmp_path / "src"), str(tmp_path / "log")
     rows = skewed.withColumn("day", F.col("day").cast("timestamp"))
     parts = [rows.where(F.col("_row_id") % 3 == i) for i in range(3)]
