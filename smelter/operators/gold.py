@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import col
+from ..functions.names import col, quoted
 from ..plans.metric import SKETCH_SUFFIX
 from ..sources.landing import land_table
 
@@ -45,7 +45,7 @@ def conform_dimension(silver: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
 
 def _totals(df: DataFrame, measures: Sequence[str], label: str) -> DataFrame:
     sums = df.agg(*[F.coalesce(F.sum(col(m).cast(_DECIMAL)), F.lit(0)).cast(_DECIMAL).alias(m) for m in measures])
-    return sums.unpivot([], list(measures), "measure", label)
+    return sums.unpivot([], [quoted(m) for m in measures], "measure", label)
 
 
 def reconcile(silver: DataFrame, gold: DataFrame, measures: Sequence[str], places: int = 6,

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.casts import numeric_or_zero
-from ..functions.names import col
+from ..functions.names import col, quoted
 from ..plans.contract import GoldContract
 from ..session import durable, small_frame
 
@@ -109,8 +109,8 @@ def holdout(df: DataFrame, order: Sequence[str], k: int = 5) -> DataFrame:
 def category_vocabulary(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
     """(column, value, is_baseline): the distinct categories; the first in sort order is the baseline, unless it
     is the only one."""
-    cells = df.select(*[col(c).cast("string").alias(c) for c in categorical]).unpivot([], list(categorical), "column",
-                                                                                      "value")
+    cells = df.select(*[col(c).cast("string").alias(c) for c in categorical]).unpivot(
+        [], [quoted(c) for c in categorical], "column", "value")
     values = cells.where(F.col("value").isNotNull()).distinct()
     bounds = values.groupBy("column").agg(F.min("value").alias("lowest"), F.count(F.lit(1)).alias("n"))
     # One row per categorical column, so broadcasting it is safe however many values there are.

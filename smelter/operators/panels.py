@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import col
+from ..functions.names import col, quoted
 from ..plans.metric import Metric, metric_column
 from ..sources.landing import land_table
 from ..session import small_frame
@@ -27,14 +27,14 @@ RESTRICTED_OWNERS = ("finance-cdm", "payments-cdm")
 def kpi_panels(fact: DataFrame, metrics: Sequence[Metric]) -> DataFrame:
     """(metric, value): all metrics of one fact in a single pass."""
     totals = fact.agg(*[metric_column(m).cast("double").alias(m.metric) for m in metrics])
-    return totals.unpivot([], [f"`{m.metric}`" for m in metrics], "metric", "value")
+    return totals.unpivot([], [quoted(m.metric) for m in metrics], "metric", "value")
 
 
 def breakdown_panels(fact: DataFrame, metrics: Sequence[Metric], dim: str, top: int = 10) -> DataFrame:
     """(metric, dim, dim_value, rank, value): the highest values of every metric of one fact, in one grouping."""
     grouped = (fact.groupBy(col(dim).cast("string").alias("dim_value"))
                .agg(*[metric_column(m).cast("double").alias(m.metric) for m in metrics]))
-    cells = grouped.unpivot(["dim_value"], [f"`{m.metric}`" for m in metrics], "metric", "value")
+    cells = grouped.unpivot(["dim_value"], [quoted(m.metric) for m in metrics], "metric", "value")
     ranking = W.partitionBy("metric").orderBy(F.desc("value"), F.asc("dim_value"))
     return (cells.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= top)
             .select("metric", F.lit(dim).alias("dim"), "dim_value", "rank", "value"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import col
+from ..functions.names import col, quoted
 from ..functions.numbers import round_metric
 from ..plans.metric import Metric, aggregation_class, metric_column, metric_definition_text
 from ..session import small_frame
@@ -52,7 +52,8 @@ def dim_values(facts: Sequence[tuple[DataFrame, Sequence[str]]], cap: int = 100)
     for i, (fact, dims) in enumerate(facts):
         if not dims:
             continue
-        cells = fact.select(*[col(d).cast("string").alias(d) for d in dims]).unpivot([], list(dims), "dim", "value")
+        cells = fact.select(*[col(d).cast("string").alias(d) for d in dims]).unpivot(
+            [], [quoted(d) for d in dims], "dim", "value")
         distinct = cells.where(F.col("value").isNotNull()).distinct()
         lists.append(distinct.withColumn("_rank", F.row_number().over(W.partitionBy("dim").orderBy("value")))
                      .where(F.col("_rank") <= cap).select("dim", "value"))
