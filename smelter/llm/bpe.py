@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from .common import fraction_below, let
 
 #: Slots of the table of frequent words, and of how many documents (about) it takes the words.
-WORD_SLOTS, WORD_SAMPLE = 1 << 16, 4000
+WORD_SLOTS, WORD_SAMPLE = 1 << 17, 8000
 _NONE = -1
-_LAST = 1 << 30
+#: Bits of an id or rank in the state of a fold; the highest such number stands for no rank.
+_BITS = 17
+_LAST = (1 << _BITS) - 1
 _BUCKETS, _STRIDES = 30011, 7919
 
 
@@ -42,6 +44,8 @@ def read_ranks(path: str) -> Ranks:
     pieces = [b""] * (max(rank_of.values()) + 1)
     for piece, rank in rank_of.items():
         pieces[rank] = piece
+    if len(pieces) >= _LAST:
+        raise ValueError("the vocabulary has too many tokens")
     byte_ids = [rank_of[bytes([b])] for b in range(256)]
     width = len(pieces)
     pairs = {rank_of[t[:i]] * width + rank_of[t[i:]]: rank for t, rank in rank_of.items()
@@ -75,8 +79,11 @@ def _integers(values: list[int]) -> Column:
 
 def rank_tables(ranks: Ranks) -> Column:
     """The tables as one literal, of a size that the vocabulary bounds."""
-    return F.struct(_integers(ranks.byte_ids).alias("byte_ids"), _integers(ranks.shifts).alias("shifts"),
-                    _integers(ranks.ranks).alias("ranks"), _pieces(ranks).alias("pieces"))
+    rank_of = {piece: rank for rank, piece in enumerate(ranks.pieces)}
+    bytes_first = [rank_of.get(bytes([a, b]), _LAST) for a in range(256) for b in range(256)]
+    return F.struct(_integers(ranks.byte_ids).alias("byte_ids"), _integers(bytes_first).alias("first"),
+                    _integers(ranks.shifts).alias("shifts"), _integers(ranks.ranks).alias("ranks"),
+                    _pieces(ranks).alias("pieces"))
 
 
 def _pieces(ranks: Ranks) -> Column:
@@ -85,47 +92,58 @@ def _pieces(ranks: Ranks) -> Column:
 
 def _rank(tables: Column, ranks: Ranks, left: Column, right: Column) -> Column:
     """The rank of a pair of tokens, or ``_LAST``. The slot of any other pair is empty or holds other bytes."""
-    key = left.cast("long") * len(ranks.pieces) + right
-
-    def slot(k: Column) -> Column:
-        return ((k + F.element_at(tables["shifts"], (k % _BUCKETS).cast("int") + 1) * (1 + k % _STRIDES)) % ranks.slots).cast("int") + 1
+    key = left * len(ranks.pieces) + right
+    slot = (key + F.element_at(tables["shifts"], (key % _BUCKETS + 1).cast("int")) * (key % _STRIDES + 1)) % ranks.slots
 
     def piece(i: Column) -> Column:
-        return F.element_at(tables["pieces"], i + 1)
-    return let(let(key, lambda k: F.element_at(tables["ranks"], slot(k))), lambda found: F.when(
+        return F.element_at(tables["pieces"], (i + 1).cast("int"))
+    return let(F.element_at(tables["ranks"], (slot + 1).cast("int")), lambda found: F.when(
         (found != _NONE) & (piece(found) == F.concat(piece(left), piece(right))), found).otherwise(_LAST))
 
 
 def fold_word(word: Column, tables: Column, ranks: Ranks) -> Column:
-    """The token ids of one word: merges of lowest rank first, the leftmost of equals."""
+    """The token ids of one word: merges of lowest rank first, the leftmost of equals.
+
+    The state is one array of longs, an id in the low bits and above it the rank of its pair with the next id. A merge
+    takes two places out, puts the merged id in, and looks up two ranks.
+    """
     single = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # one character a byte
 
     def fold(text: Column) -> Column:
-        n = F.char_length(text)
-        first = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(
-            tables["byte_ids"], F.ascii(F.substr(text, i, F.lit(1))) + 1))
-        return let(first, lambda ids: F.when(n == 1, ids).otherwise(F.aggregate(
-            F.sequence(F.lit(2), n), F.struct(ids.alias("ids"), F.zip_with(
-                F.slice(ids, 1, n - 1), F.slice(ids, 2, n - 1), lambda a, b: _rank(tables, ranks, a, b)).alias("ranks")),
-            lambda state, _: let(F.array_min(state["ranks"]), lambda low: F.when(
-                F.coalesce(low, F.lit(_LAST)) == _LAST, state).otherwise(_merge(state, low, tables, ranks))),
-            lambda state: state["ids"])))
-    return let(single, fold)
-
-
-def _merge(state: Column, low: Column, tables: Column, ranks: Ranks) -> Column:
-    """Merge the leftmost pair of rank ``low`` (which is the merged token's id) and look up its new neighbours."""
-    ids, old = state["ids"], state["ranks"]
-
-    def at(place: Column) -> Column:
-        before = F.when(place > 1, F.concat(F.slice(old, F.lit(1), place - 2), F.array(
-            _rank(tables, ranks, F.element_at(ids, F.greatest(place - 1, F.lit(1))), low)))).otherwise(F.slice(old, F.lit(1), F.lit(0)))
-        after = F.when(place < F.size(old), F.concat(F.array(
-            _rank(tables, ranks, low, F.element_at(ids, F.least(place + 2, F.size(ids))))),
-            F.slice(old, place + 2, F.size(old)))).otherwise(F.slice(old, F.lit(1), F.lit(0)))
-        return F.struct(F.concat(F.slice(ids, F.lit(1), place - 1), F.array(low), F.slice(ids, place + 2, F.size(ids))).alias("ids"),
-                        F.concat(before, after).alias("ranks"))
-    return let(F.array_position(old, low).cast("int"), at)
+        return let(F.transform(F.split(text, ""), lambda c: F.ascii(c)), lambda codes: F.transform(F.aggregate(
+            F.sequence(F.lit(2), F.size(codes)), F.transform(codes, lambda a, i: _packed(
+                F.when(i + 1 < F.size(codes), F.element_at(tables["first"], a * 256 + F.element_at(codes, F.least(i + 2, F.size(codes))) + 1))
+                .otherwise(_LAST), F.element_at(tables["byte_ids"], a + 1))),
+            lambda state, _: let(_lowest(state), lambda low: F.when(F.shiftright(low, 32) == _LAST, state).otherwise(
+                _merge(state, low, tables, ranks)))), lambda e: _id(e).cast("int")))
+    return F.when(F.octet_length(word) == 1, F.array(F.element_at(tables["byte_ids"], F.ascii(word) + 1))).otherwise(let(single, fold))
+
+
+def _packed(rank: Column, token: Column) -> Column:
+    return F.shiftleft(rank.cast("long"), _BITS).bitwiseOR(token.cast("long"))
+
+
+def _id(entry: Column) -> Column:
+    return entry.bitwiseAND(F.lit(_LAST).cast("long"))
+
+
+def _lowest(state: Column) -> Column:
+    """The lowest rank, and in the low 32 bits its first place from 0."""
+    return F.array_min(F.transform(state, lambda e, i: F.shiftleft(F.shiftright(e, _BITS), 32).bitwiseOR(i.cast("long"))))
+
+
+def _merge(state: Column, lowest: Column, tables: Column, ranks: Ranks) -> Column:
+    """Merge the leftmost pair of the lowest rank (which is the merged token's id) and look up its new neighbours."""
+    low, place = F.shiftright(lowest, 32), (lowest.bitwiseAND(F.lit((1 << 32) - 1)) + 1).cast("int")
+
+    def at(p: Column) -> Column:
+        after = F.when(p + 1 < F.size(state), _rank(tables, ranks, low, _id(F.element_at(state, F.least(p + 2, F.size(state)))))
+                       ).otherwise(_LAST)
+        merged = F.array(_packed(after, low))
+        before = let(_id(F.element_at(state, F.greatest(p - 1, F.lit(1)))), lambda x: F.array(_packed(_rank(tables, ranks, x, low), x)))
+        rest = F.slice(state, p + 2, F.size(state))
+        return F.when(p > 1, F.concat(F.slice(state, F.lit(1), p - 2), before, merged, rest)).otherwise(F.concat(merged, rest))
+    return let(place, at)
 
 
 def _words(text: Column, pattern: str) -> Column:
