@@ -119,8 +119,8 @@ def register(spark, sf_dir):
     """Customer and supplier columns flagged at bronze, carried on by silver, names dropped on the way to gold."""
     customer = as_text(table(spark, sf_dir, "customer").withColumnRenamed("c_name", "customer_name"))
     supplier = as_text(table(spark, sf_dir, "supplier").withColumnRenamed("s_name", "mobile"))
-    found = inherit(*[detect_pii(df, pinned(profile_columns(df, name)), name, order=[key])
-                      for df, name, key in ((customer, "customer", "c_custkey"), (supplier, "supplier", "s_suppkey"))])
+    found = inherit(*[detect_pii(df, pinned(profile_columns(df, name)), name)
+                      for df, name in ((customer, "customer"), (supplier, "supplier"))])
     flagged = found.select(F.concat_ws(".", "table", "column").alias("column"), "class", "action")
     stages = inherit(flagged.withColumns({"stage": F.lit("bronze"), "stage_no": F.lit(0)}),
                      flagged.withColumns({"stage": F.lit("silver"), "stage_no": F.lit(1)}))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from smelter.functions import format_metric, rounded_total
-from smelter.operators import dim_values, metric_query, rollup_metric, route_questions
+from smelter.operators import dim_values, metric_query, rollup_metric, route_questions, value_rows
 from smelter.plans import Metric
 from smelter.sources import land_table, load_gold
 from smelter.session import scratch_path
@@ -178,7 +178,7 @@ def query_supplied_gold(spark, sf_dir):
 
 _DICTIONARY_SQL = " UNION ALL ".join(
     f"""SELECT '{d}' AS dim, string_agg(v, '|' ORDER BY v) AS "values" FROM (SELECT DISTINCT CAST({d} AS VARCHAR) AS v
-        FROM ({f}) WHERE {d} IS NOT NULL ORDER BY v LIMIT 100)"""
+        FROM ({f}) WHERE {d} IS NOT NULL)"""
     for d, f in (("o_orderstatus", ORDERS_FACT_SQL), ("o_orderpriority", ORDERS_FACT_SQL),
                  ("l_returnflag", LINEITEM_FACT_SQL), ("l_linestatus", LINEITEM_FACT_SQL),
                  ("event_type", EVENTS_FACT_SQL)))
@@ -214,7 +214,21 @@ def route_questions_orders(spark, sf_dir):
                               F.when(F.col("how") == "What is total", "").otherwise(" by o_orderpriority"),
                               F.lit(" for "), "o_orderpriority", F.lit(" in "), F.col("y").cast("string"), F.lit(" week "),
                               F.col("d").cast("string")).alias("question")))
-    values = {r["dim"]: r["values"] for r in dim_values([(orders, ["o_orderpriority"])]).collect()}
+    values = value_rows([(orders, ["o_orderpriority"])])
     routed = route_questions(asked, [AOV, ORDER_COUNT, SALES], ["o_orderstatus", "o_orderpriority"], values)
     pairs = F.transform("filters", lambda f: F.concat(f["dim"], F.lit("="), f["value"]))
-    return routed.withColumn("filters", F.array_join(pairs, ",")).drop("answered")
+    return routed.withColumn("filters", F.array_join(pairs, ",")).drop("answered", "unresolved")
+
+
+@query("route_questions_many_values", """SELECT 'total sales for ' || c_name || ' please' AS question, 'sales' AS metric,
+    'c_name=' || c_name AS filters, true AS answered FROM (SELECT DISTINCT c_name FROM customer WHERE c_name IS NOT NULL)
+    UNION ALL SELECT 'total sales for nothing known', 'sales', '', false""")
+def route_questions_many_values(spark, sf_dir):
+    """A dimension of very many values: every customer name, asked for once, and one thing that is no value."""
+    customers = table(spark, sf_dir, "customer").where(F.col("c_name").isNotNull())
+    asked = (customers.select("c_name").distinct()
+             .select(F.concat(F.lit("total sales for "), "c_name", F.lit(" please")).alias("question"))
+             .unionAll(spark.range(1).select(F.lit("total sales for nothing known").alias("question"))))
+    routed = route_questions(asked, [SALES], ["c_name"], value_rows([(customers, ["c_name"])]))
+    pairs = F.transform("filters", lambda f: F.concat(f["dim"], F.lit("="), f["value"]))
+    return routed.select("question", "metric", F.array_join(pairs, ",").alias("filters"), "answered")

@@ -129,7 +129,7 @@ _register_roles("lineitem", LINEITEM)
 def pii_scan_customer(spark, sf_dir):
     """Found by its column name."""
     df = as_text(table(spark, sf_dir, "customer").withColumnRenamed("c_name", "customer_name"))
-    return detect_pii(df, pinned(profile_columns(df, "customer")), "customer", order=["c_custkey"])
+    return detect_pii(df, pinned(profile_columns(df, "customer")), "customer")
 
 
 _CONTACT = r"[A-Za-z0-9._]+@[A-Za-z0-9.-]+\.[A-Za-z]+"
@@ -144,7 +144,7 @@ _CONTACT_AT_WORD = r"(?<![A-Za-z0-9._])[A-Za-z0-9._]++@[A-Za-z0-9.-]+\.[A-Za-z]+
 def pii_scan_documents(spark, sf_dir):
     """Found by its values: the first address in each text, where there is one."""
     df = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", _CONTACT_AT_WORD, 0).alias("reach"))
-    return detect_pii(df, pinned(profile_columns(as_text(df), "documents")), "documents", order=["doc_id"])
+    return detect_pii(df, pinned(profile_columns(as_text(df), "documents")), "documents")
 
 
 @query("attach_pii_customer", f"""WITH p AS ({profile_sql("customer", ["c_custkey", "customer_name", "c_mktsegment"],
@@ -155,7 +155,7 @@ def attach_pii_customer(spark, sf_dir):
                                                          "c_mktsegment"))
     profile = pinned(profile_columns(df, "customer"))
     return attach_pii_flags(profile.select("table", "column", "distinct"),
-                            detect_pii(df, profile, "customer", order=["c_custkey"]))
+                            detect_pii(df, profile, "customer"))
 
 
 def quality_sql(name: str, columns: list[str]) -> str:

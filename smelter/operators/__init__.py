@@ -9,7 +9,7 @@ from .panels import (DEFAULT_ROLES, breakdown_panels, kpi_panels, mask_pii, pane
                      refresh_panels, visible_to)
 from .profiling import (candidate_keys, classify_columns, column_samples, confirm_keys, detect_pii, dim_candidates,
                         first_values, infer_types, profile_columns, quality_checks, to_classification)
-from .query import (answer_questions, dim_values, metric_query, receipts, route_questions)
+from .query import (answer_questions, dim_values, metric_query, receipts, route_questions, value_rows)
 from .rollup import distinct_rollup, rollup_metric
 from .silver import clean_silver, dedupe_all, dedupe_first, dedupe_receipt
 from .versions import version_diff

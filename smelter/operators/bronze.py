@@ -13,9 +13,12 @@ from ..functions.text import blank_to_null
 
 
 def wide_integer_types(profile: DataFrame) -> DataFrame:
-    """Profile types, with integers that need more than 64 bits marked as ``wide_integer``."""
-    wide = (F.col("type") == "integer") & ((F.col("min") < -9.2e18) | (F.col("max") > 9.2e18))
-    return profile.select("ordinal", "column", F.when(wide, "wide_integer").otherwise(F.col("type")).alias("type"))
+    """Profile types, with integers that need more than 64 bits marked as ``wide_integer``. A column with integers of
+    more than 38 digits stays text: no type would keep them."""
+    size = F.greatest(F.abs("min"), F.abs("max"))
+    return profile.select("ordinal", "column", F.when((F.col("type") == "integer") & (size >= 9.9e37), "text")
+                          .when((F.col("type") == "integer") & (size > 9.2e18), "wide_integer")
+                          .otherwise(F.col("type")).alias("type"))
 
 
 def cast_bronze(df: DataFrame, types: Mapping[str, str], keep_rejected: bool = False) -> DataFrame:
@@ -48,14 +51,16 @@ def cast_bronze(df: DataFrame, types: Mapping[str, str], keep_rejected: bool = F
 
 
 def catalog_rows(profile: DataFrame, samples: DataFrame, pii: DataFrame, dims: DataFrame) -> DataFrame:
-    """Catalog entries: the profile with samples, key flag, personal-data class and dimension flag per column."""
+    """Catalog entries: the profile with samples, key flag, personal-data class and dimension flag per column. Personal
+    data have no samples in the catalog."""
     key = ((F.col("rows") > 1) & (F.col("distinct") == F.col("rows")) & (F.col("nulls") == 0)
            & ~F.col("type").isin("real", "boolean"))
     return (profile.withColumn("is_key", key)
             .join(samples.select("column", "samples"), "column", "left")
             .join(pii.select("table", "column", F.col("class").alias("pii_class")), ["table", "column"], "left")
             .join(dims.select("table", "column", F.lit(True).alias("is_dimension")), ["table", "column"], "left")
-            .withColumn("is_dimension", F.coalesce("is_dimension", F.lit(False))))
+            .withColumn("is_dimension", F.coalesce("is_dimension", F.lit(False)))
+            .withColumn("samples", F.when(F.col("pii_class").isNull(), F.col("samples"))))
 
 
 def attach_pii_flags(catalog: DataFrame, pii: DataFrame) -> DataFrame:

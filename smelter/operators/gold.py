@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -13,26 +14,49 @@ from ..plans.metric import SKETCH_SUFFIX
 from ..sources.landing import land_table
 
 MONTH = "_month"
-_DECIMAL = "decimal(38,6)"
+_DIGITS = 38
 
 
 def build_daily_fact(silver: DataFrame, grain: str, dims: Sequence[str], measures: Sequence[str], name: str,
                      distinct_cols: Sequence[str] = (), exact: bool = False, sketch: str = "hll") -> DataFrame:
     """One row per day and dimension values: summed measures and ``<name>_count``.
 
-    A missing day stays a group, so sums still reconcile. ``exact`` sums fractional measures as decimals:
-    totals are then independent of the order of addition. ``distinct_cols`` adds one mergeable sketch per
-    column (``<column>_sketch``, HLL or Theta) for distinct counts at coarser grains.
+    A missing day stays a group, so sums still reconcile. ``exact`` adds fractional measures up as decimals wide
+    enough for their data (see ``decimal_scales``) and stores the sum as a double: totals are then independent of the
+    order of addition. ``distinct_cols`` adds one mergeable sketch per column (``<column>_sketch``, HLL or Theta) for
+    distinct counts at coarser grains.
     """
     day = F.to_date(col(grain)).alias(f"{grain}_day")
-    fractional = {f.name for f in silver.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    sums = [F.sum(col(m).cast(_DECIMAL) if exact and m in fractional else col(m)).alias(m) for m in measures]
+    scales = decimal_scales(silver, measures) if exact else {}
+    sums = [(_decimal_sum(m, scales[m]).cast("double") if m in scales else F.sum(col(m))).alias(m) for m in measures]
     build = F.hll_sketch_agg if sketch == "hll" else F.theta_sketch_agg
     sketches = [build(col(c)).alias(f"{c}{SKETCH_SUFFIX}") for c in distinct_cols]
     return (silver.groupBy(day, *[col(d) for d in dims])
             .agg(*sums, F.count(F.lit(1)).alias(f"{name}_count"), *sketches))
 
 
+def decimal_scales(df: DataFrame, measures: Sequence[str]) -> dict[str, int]:
+    """How many decimals each fractional measure's sum can keep in 38 digits, from its largest value and the rows.
+
+    A measure with NaN or infinite values, or too large for 38 digits, is left out: it is summed as doubles.
+    """
+    fractional = [f.name for f in df.schema.fields if f.name in set(measures) and isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    if not fractional:
+        return {}
+    rows, *largest = df.agg(F.count(F.lit(1)), *[F.coalesce(F.max(F.abs(col(m).cast("double"))), F.lit(0.0)) for m in fractional]).first()
+    scales = {}
+    for m, top in zip(fractional, largest):
+        if math.isfinite(top):
+            before_point = (math.floor(math.log10(top)) + 1 if top else 0) + len(str(rows))
+            if before_point <= _DIGITS:
+                scales[m] = _DIGITS - max(before_point, 0)
+    return scales
+
+
+def _decimal_sum(measure: str, scale: int):
+    return F.sum(col(measure).cast(f"decimal({_DIGITS},{scale})"))
+
+
 def write_fact(fact: DataFrame, path: str, day: str) -> DataFrame:
     """Store a fact partitioned by month, so that date filters prune partitions."""
     return land_table(fact.withColumn(MONTH, F.date_format(col(day), "yyyy-MM")), path, [MONTH]).drop(MONTH)
@@ -44,22 +68,31 @@ def conform_dimension(silver: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
 
 
 def _totals(df: DataFrame, measures: Sequence[str], label: str) -> DataFrame:
-    sums = df.agg(*[F.coalesce(F.sum(col(m).cast(_DECIMAL)), F.lit(0)).cast(_DECIMAL).alias(m) for m in measures])
-    return sums.unpivot([], [quoted(m) for m in measures], "measure", label)
-
-
-def reconcile(silver: DataFrame, gold: DataFrame, measures: Sequence[str], places: int = 6,
-              relative: float = 1e-12, strict: bool = False) -> DataFrame:
-    """(measure, silver_sum, gold_sum, result) per measure; sums are taken in decimals.
-
-    A fact that stores doubles may differ from silver in the last bits of a very large total: ``relative``
-    is the share of the total that is put down to that. Facts built with ``exact=True`` pass with 0 too.
-    With ``strict`` a failure raises.
+    """(measure, total, size): each measure's sum, worked out from this table's own values, and the sum of absolutes."""
+    scales = decimal_scales(df, measures)
+    whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    sums = []
+    for m in measures:
+        total = (_decimal_sum(m, scales[m]) if m in scales else _decimal_sum(m, 0) if m in whole else F.sum(col(m))).cast("double")
+        sums.append(F.struct(F.lit(m).alias("measure"), F.coalesce(total, F.lit(0.0)).alias(label),
+                             F.coalesce(F.sum(F.abs(col(m).cast("double"))), F.lit(0.0)).alias(f"{label}_size")))
+    return df.agg(F.array(*sums).alias("all")).select(F.inline("all"))
+
+
+def reconcile(silver: DataFrame, gold: DataFrame, measures: Sequence[str], relative: float = 1e-12,
+              strict: bool = False) -> DataFrame:
+    """(measure, silver_sum, gold_sum, result) per measure. Either sum comes from its own table's values, added up as
+    decimals that fit them, so measures of any size are compared to the digits that doubles have.
+
+    The sums may differ by ``relative`` of the sum of silver's absolute values: what doubles lose when very many cells
+    are stored. Facts built with ``exact=True`` from values of few digits pass with 0 too. Two NaN sums agree. With
+    ``strict`` a failure raises.
     """
     both = _totals(silver, measures, "silver_sum").join(_totals(gold, measures, "gold_sum"), "measure")
-    gap = F.abs(F.round(F.col("silver_sum") - F.col("gold_sum"), places)).cast("double")
-    allowed = F.abs(F.col("silver_sum").cast("double")) * relative
-    checked = both.withColumn("result", F.when(gap <= allowed, "pass").otherwise("fail"))
+    same = F.col("silver_sum") == F.col("gold_sum")
+    near = F.abs(F.col("silver_sum") - F.col("gold_sum")) <= F.col("silver_sum_size") * relative
+    both = both.select("measure", "silver_sum", "gold_sum", (same | near).alias("_agrees"))
+    checked = both.withColumn("result", F.when(F.col("_agrees"), "pass").otherwise("fail")).drop("_agrees")
     if strict:
         failed = [r["measure"] for r in checked.where(F.col("result") == "fail").collect()]
         if failed:

@@ -185,8 +185,12 @@ def gram_cells(df: DataFrame, schema: FeatureSchema) -> DataFrame:
     pairs = F.flatten(F.transform(entries, lambda a: F.transform(
         F.filter(entries, lambda b: b["i"] >= a["i"]),
         lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), (a["v"] * b["v"]).alias("product")))))
-    return (df.select(_sparse_row(schema).alias("e")).select(F.inline(pairs))
-            .groupBy("i", "j").agg(F.sum("product").alias("value")))
+    found = (df.select(_sparse_row(schema).alias("e")).select(F.inline(pairs))
+             .groupBy("i", "j").agg(F.sum("product").alias("value")))
+    # Every cell is a row, also those that no row of the data has a part in.
+    every = (df.sparkSession.range(size).select(F.col("id").cast("int").alias("i"))
+             .select("i", F.explode(F.sequence(F.col("i"), F.lit(size - 1))).alias("j")))
+    return every.join(found, ["i", "j"], "left").select("i", "j", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def fit_ridge(df: DataFrame, schema: FeatureSchema, lam: float = 1.0, trained_on: str = "") -> LinearModel:

@@ -71,15 +71,16 @@ def profile_columns(df: DataFrame, table: str = "", exact: bool = True) -> DataF
     """
     columns = data_columns(df)
     spark = df.sparkSession
+    # A long value travels as its digest and what its stripped text can be read as; it reads as it would if it were short.
     cells = _cells(df, columns).select(F.col("at").cast("int").alias("ordinal"), "value",
                                        (F.octet_length("value") > _LONG).alias("long"))
-    # A long value is reduced to its digest and what it can be read as: a number, or nothing.
-    digit_text = F.when(F.col("long"), strip("value"))
+    cells = cells.select("ordinal", "value", "long", F.when(F.col("long"), strip("value")).alias("bare"))
+    cells = cells.select("*", F.when(F.col("long"), F.when(F.col("bare") == "", -1).otherwise(_readings(F.col("bare"))))
+                         .alias("long_readings"))
     keyed = cells.select(
-        "ordinal", F.when(F.col("long"), F.sha2("value", 256)).otherwise(F.col("value")).alias("key"),
-        F.when(F.col("long"), F.when(digit_text == "", -1).when(is_integer_text(digit_text), _INTEGER + _REAL)
-               .when(is_real_text(digit_text), _REAL).otherwise(0)).alias("long_readings"),
-        F.when(is_real_text(digit_text), digit_text.try_cast("double")).alias("long_number"))
+        "ordinal", F.when(F.col("long"), F.sha2("value", 256)).otherwise(F.col("value")).alias("key"), "long_readings",
+        F.when((F.col("long_readings") >= 0) & (F.col("long_readings").bitwiseAND(F.lit(_REAL)) != 0),
+               F.col("bare").try_cast("double")).alias("long_number"))
     if exact:
         values = keyed.groupBy("ordinal", "key", "long_readings", "long_number").agg(F.count(F.lit(1)).alias("n"))
     else:
@@ -168,11 +169,11 @@ def confirm_keys(df: DataFrame, profile: DataFrame, tolerance: float = 0.9) -> D
     return survivors.join(repeated, "ordinal", "left_anti")
 
 
-def detect_pii(df: DataFrame, profile: DataFrame, table: str, order: Sequence[str] = (SOURCE_FILE, ROW_ID),
+def detect_pii(df: DataFrame, profile: DataFrame, table: str,
                patterns: Mapping[str, str] = PII_NAME_PATTERNS, extra: Mapping[str, str] | None = None,
-               sample: int = 50, share: float = 0.6) -> DataFrame:
+               share: float = 0.6) -> DataFrame:
     """(table, column, class, action) of personal-data columns: by name, else for text columns by the share
-    of the first ``sample`` filled values that look like an e-mail address or a phone number."""
+    of all filled values that look like an e-mail address or a phone number: one aggregate over all such columns."""
     extra = dict(extra or {})
     spark = df.sparkSession
     known = F.lit(None).cast("string")
@@ -185,16 +186,18 @@ def detect_pii(df: DataFrame, profile: DataFrame, table: str, order: Sequence[st
     found = small_frame(spark, named, "ordinal int, column string, class string")
     open_text = {r["column"]: r["ordinal"] for r in rows if not r["class"] and r["type"] == "text"}
     if open_text:
-        def like(pattern: str) -> Column:
-            hits = F.size(F.filter("values", lambda v: v.rlike(pattern)))
-            return hits / F.size("values") > share
-
-        sniffed = (first_values(df, list(open_text), sample, order)
-                   .withColumn("class", F.when(like(EMAIL_TEXT), "email").when(like(PHONE_TEXT), "phone"))
-                   .where(F.col("class").isNotNull())
-                   .select(F.element_at(F.array(*[F.lit(o) for o in open_text.values()]), F.col("ordinal") + 1)
-                           .alias("ordinal"), "column", "class"))
-        found = found.unionByName(sniffed)
+        texts = df.select(*[col(c).cast("string").alias(f"c{i}") for c, i in open_text.items()])
+        texts = texts.select(*[blank_to_null(f"c{i}").alias(f"c{i}") for i in open_text.values()])
+        shares = texts.agg(*[F.array(*[F.try_divide(F.count_if(F.col(f"c{i}").rlike(pattern)), F.count(f"c{i}"))
+                                       for pattern in (EMAIL_TEXT, PHONE_TEXT)]).alias(f"c{i}")
+                             for i in open_text.values()]).first()  # two numbers a column
+        sniffed = []
+        for c, i in open_text.items():
+            mail, phone = (s or 0.0 for s in shares[f"c{i}"])
+            if max(mail, phone) > share:
+                sniffed.append((i, c, "email" if mail > share else "phone"))
+        if sniffed:
+            found = found.unionByName(small_frame(spark, sniffed, "ordinal int, column string, class string"))
     return found.select(F.lit(table).alias("table"), "ordinal", "column", "class", F.lit("flagged").alias("action"))
 
 

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import col, quoted
@@ -46,19 +45,18 @@ def metric_query(fact: DataFrame, metric: Metric, breakdown: str | None = None,
     return ranked if limit is None else ranked.limit(limit)
 
 
-def dim_values(facts: Sequence[tuple[DataFrame, Sequence[str]]], cap: int = 100) -> DataFrame:
-    """(dim, values): the distinct values of each dimension as sorted text, ``cap`` per fact at most."""
-    lists = []
-    for i, (fact, dims) in enumerate(facts):
-        if not dims:
-            continue
-        cells = fact.select(*[col(d).cast("string").alias(d) for d in dims]).unpivot(
-            [], [quoted(d) for d in dims], "dim", "value")
-        distinct = cells.where(F.col("value").isNotNull()).distinct()
-        lists.append(distinct.withColumn("_rank", F.row_number().over(W.partitionBy("dim").orderBy("value")))
-                     .where(F.col("_rank") <= cap).select("dim", "value"))
-    return (reduce(DataFrame.unionByName, lists).groupBy("dim")
-            .agg(F.array_sort(F.collect_set("value")).alias("values")))
+def value_rows(facts: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """(dim, value): every distinct value of each dimension, as text. No value is left out."""
+    lists = [fact.select(*[col(d).cast("string").alias(d) for d in dims])
+             .unpivot([], [quoted(d) for d in dims], "dim", "value").where(F.col("value").isNotNull()).distinct()
+             for fact, dims in facts if dims]
+    return reduce(DataFrame.unionByName, lists).distinct()
+
+
+def dim_values(facts: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """(dim, values): the distinct values of each dimension as sorted text, for readers. Routing joins ``value_rows``,
+    so a dimension of very many values is never gathered for it."""
+    return value_rows(facts).groupBy("dim").agg(F.array_sort(F.collect_set("value")).alias("values"))
 
 
 # --- routing -----------------------------------------------------------------
@@ -84,43 +82,65 @@ def _longest(question: Column, terms: Sequence[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(question.contains(term), F.lit(ident)) for term, ident in ranked])
 
 
+def _grams(text: Column, longest: Column, whole_words: bool) -> Column:
+    """All runs of up to ``longest`` words (or characters) of a normalised text."""
+    parts = F.split(F.trim(text), " ") if whole_words else F.split(text, "")
+    joint = " " if whole_words else ""
+
+    def runs(p: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.transform(
+            F.sequence(F.lit(1), F.least(longest, F.size(p) - i + 1)), lambda n: F.array_join(F.slice(p, i, n), joint))))
+    return F.array_distinct(runs(parts))
+
+
+def _named_values(texts: DataFrame, values: DataFrame, whole_words: bool) -> DataFrame:
+    """(_text, filters): for each different question text, the first value by order of each dimension that it names.
+
+    An equi-join of the text's word runs with the value table: neither side comes to the driver, and a dimension may
+    have any number of values.
+    """
+    spelled = values.select("dim", "value", (F.trim(_phrase(F.col("value"))) if whole_words else F.lower("value")).alias("_gram"))
+    spelled = spelled.where("_gram <> ''")
+    size = F.size(F.split("_gram", " ")) if whole_words else F.char_length("_gram")
+    longest = spelled.agg(F.coalesce(F.max(size), F.lit(1))).first()[0]
+    grams = texts.select("_text", F.explode(_grams(F.col("_text"), F.lit(longest), whole_words)).alias("_gram"))
+    return (grams.join(spelled, "_gram").groupBy("_text", "dim").agg(F.min("value").alias("value"))
+            .groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_found")))
+
+
 def route_questions(questions: DataFrame, metrics: Sequence[Metric], dims: Sequence[str],
-                    values: Mapping[str, Sequence[str]], question: str = "question",
+                    values: DataFrame | Mapping[str, Sequence[str]], question: str = "question",
                     whole_words: bool = True) -> DataFrame:
-    """Add the plan of each question: metric, breakdown, filters, order, limit.
+    """Add the plan of each question: metric, breakdown, filters, order, limit, and what it leaves ``unresolved``.
 
-    The vocabulary (metric ids and labels, dimension names, the capped value dictionary) is small by
-    construction and becomes part of the expressions: the questions are mapped in place, without a join.
-    ``whole_words=False`` lets a value match inside a longer word.
+    Metric ids, labels and dimension names are metadata and become part of the expressions; ``values`` (dim, value)
+    is data and is joined. ``whole_words=False`` lets a value match inside a longer word. A question that asks "for"
+    something that is no known value, metric or dimension is not ``answered``: a total over all rows would not be what
+    was asked for. A number that is no integer of Spark's asks for no limit.
     """
+    if not isinstance(values, DataFrame):
+        pairs = [(d, v) for d, vs in values.items() for v in vs]
+        values = small_frame(questions.sparkSession, pairs, "dim string, value string")
     q = F.col("_q")
     terms = [(t.lower().strip(), m.metric) for m in metrics for t in (m.metric, m.label or "")]
     asks_breakdown = _has_any(q, BREAKDOWN_WORDS + TOP_WORDS + BOTTOM_WORDS)
     breakdown = F.when(asks_breakdown, _longest(q, [(d.lower(), d) for d in dims]))
-
-    filters = []
-    for dim, vocabulary in values.items():
-        spelled = [(v, _phrase_literal(v) if whole_words else v.lower()) for v in vocabulary]
-        spelled = [(v, s) for v, s in spelled if s.strip()]
-        if spelled:
-            first = F.coalesce(*[F.when(F.col("_text").contains(s), F.lit(v)) for v, s in spelled])
-            filters.append((dim, first))
-    asked = F.nullif(F.regexp_extract(q, r"(top|bottom)\s+(\d{1,9})", 2), F.lit("")).try_cast("int")
-    found = [F.col(f"_f{i}") for i in range(len(filters))]
-    plan_filters = (F.array_compact(F.array(*[
-        F.when(value.isNotNull(), F.struct(F.lit(dim).alias("dim"), value.alias("value")))
-        for (dim, _), value in zip(filters, found)])) if filters
-        else F.from_json(F.lit("[]"), "array<struct<dim:string,value:string>>"))
-    # The lower-cased text is made once; one column per dimension keeps the generated methods small.
+    asked = F.nullif(F.regexp_extract(q, r"(top|bottom)\s+(\d+)", 2), F.lit("")).try_cast("int")
+    wanted = F.nullif(F.trim(F.regexp_extract(q, r"\bfor\s+(?!each\b)([^?]*)", 1)), F.lit(""))
+    known = [w for w in {t for t, _ in terms} | {d.lower() for d in dims} if w]
+    names_known = _has_any(F.col("_wanted"), known) if known else F.lit(False)
     routed = questions.withColumns({
         "_q": F.lower(col(question)), "_text": _phrase(col(question)) if whole_words else F.lower(col(question))})
-    routed = routed.withColumns({"metric": _longest(q, terms), "breakdown": breakdown,
-                                 "order": F.when(_has_any(q, BOTTOM_WORDS), "asc").otherwise("desc"), "_asked": asked,
-                                 **{f"_f{i}": first for i, (_, first) in enumerate(filters)}})
+    found = _named_values(routed.select("_text").distinct(), values, whole_words)
+    routed = routed.join(found, "_text", "left").withColumns({
+        "metric": _longest(q, terms), "breakdown": breakdown, "_asked": asked, "_wanted": wanted,
+        "order": F.when(_has_any(q, BOTTOM_WORDS), "asc").otherwise("desc"),
+        "filters": F.coalesce("_found", F.from_json(F.lit("[]"), "array<struct<dim:string,value:string>>"))})
+    unresolved = F.when((F.size("filters") == 0) & ~names_known, F.col("_wanted"))
     return routed.select(
-        *[col(c) for c in questions.columns], "metric", "breakdown", plan_filters.alias("filters"), "order",
+        *[col(c) for c in questions.columns], "metric", "breakdown", "filters", "order",
         F.coalesce(F.nullif("_asked", F.lit(0)), F.when(F.col("breakdown").isNotNull(), DEFAULT_LIMIT)).alias("limit"),
-        F.col("metric").isNotNull().alias("answered"))
+        (F.col("metric").isNotNull() & unresolved.isNull()).alias("answered"), unresolved.alias("unresolved"))
 
 
 RECEIPT_SCHEMA = """
@@ -135,9 +155,9 @@ def receipts(spark: SparkSession, plans: Sequence, metrics: Sequence[Metric]) ->
     by_id = {m.metric: m for m in metrics}
     rows = []
     for number, plan in enumerate(plans, start=1):
-        m = by_id.get(plan["metric"])
+        m = by_id.get(plan["metric"]) if plan["answered"] else None
         if m is None:
-            rows.append((number, plan["question"], False) + (None,) * 13)
+            rows.append((number, plan["question"], False) + (None,) * 12 + (plan["unresolved"] and f"no value named {plan['unresolved']}",))
             continue
         recomputed = aggregation_class(m.aggregation) == "ratio-like"
         rows.append((number, plan["question"], True, m.metric, m.description, m.owner, m.version, m.aggregation,
@@ -148,7 +168,7 @@ def receipts(spark: SparkSession, plans: Sequence, metrics: Sequence[Metric]) ->
 
 
 def answer_questions(spark: SparkSession, facts: Mapping[str, tuple[DataFrame, Sequence[str]]],
-                     metrics: Sequence[Metric], questions: Sequence[str], cap: int = 100
+                     metrics: Sequence[Metric], questions: Sequence[str]
                      ) -> tuple[dict[int, DataFrame], DataFrame]:
     """Answer a list of questions: a lazy result per answered question (by number), and the receipts.
 
@@ -156,14 +176,13 @@ def answer_questions(spark: SparkSession, facts: Mapping[str, tuple[DataFrame, S
     metric's fact does not have is left out of that question's plan.
     """
     dims = sorted({d for _, ds in facts.values() for d in ds})
-    known = {r["dim"]: r["values"] for r in dim_values(list(facts.values()), cap).orderBy("dim").collect()} \
-        if dims else {}
+    known = value_rows(list(facts.values())) if dims else {}
     asked = small_frame(spark, list(enumerate(questions, start=1)), "question_no int, question string")
     by_id = {m.metric: m for m in metrics}
     plans, answers = [], {}
     for row in route_questions(asked, metrics, dims, known).orderBy("question_no").collect():
         plan = row.asDict(recursive=True)
-        metric = by_id.get(plan["metric"])
+        metric = by_id.get(plan["metric"]) if plan["answered"] else None
         if metric is not None:
             fact, own = facts[metric.fact]
             plan["breakdown"] = plan["breakdown"] if plan["breakdown"] in own else None
@@ -176,4 +195,4 @@ def answer_questions(spark: SparkSession, facts: Mapping[str, tuple[DataFrame, S
     return answers, receipts(spark, plans, metrics)
 
 
-__all__ = ["answer_questions", "dim_values", "metric_query", "receipts", "route_questions"]
+__all__ = ["answer_questions", "dim_values", "metric_query", "receipts", "route_questions", "value_rows"]

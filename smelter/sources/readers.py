@@ -230,7 +230,7 @@ def read_xml(spark: SparkSession, path: str, record_tag: str | None = None) -> D
                                            F.first("columns").alias("columns"))
                        .orderBy(F.desc("n"), "place").limit(1).collect())
         except Exception as error:  # the parser's message arrives inside a Spark task failure
-            raise SourceError(f"not well-formed XML: {str(error).splitlines()[0][:120]}") from error
+            raise SourceError(f"not well-formed XML: {error}") from error
         if not outline:
             raise SourceError("no XML file")
         record_tag, columns = outline[0]["tag"], outline[0]["columns"]

@@ -74,7 +74,7 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
     try:
         first = rows.where(F.col("number") == 0).limit(1).collect()
     except Exception as error:  # a damaged workbook surfaces as a task failure
-        raise ValueError(f"unreadable workbook: {str(error).strip().splitlines()[-1][:120]}") from error
+        raise ValueError(f"unreadable workbook: {error}") from error
     if not first:
         raise ValueError("the worksheet is empty")
     header = [h or f"col_{i}" for i, h in enumerate(first[0]["cells"])]

@@ -1,3 +1,3 @@
-from .daily_fact import current_fact, refresh_fact_from_stream, stream_daily_fact
+from .daily_fact import compact_fact, current_fact, refresh_fact_from_stream
 
-__all__ = ["current_fact", "refresh_fact_from_stream", "stream_daily_fact"]
+__all__ = ["compact_fact", "current_fact", "refresh_fact_from_stream"]

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from conftest import TAKINGS, takings
 from pyspark.sql import functions as F
 
 from smelter.functions import format_metric, round_metric
@@ -22,7 +23,7 @@ from smelter.plans.metric import with_authored
 from smelter.session import small_frame
 from smelter.sources import load_metrics, override_proposed, upsert_stage
 from smelter.plans import metrics_frame
-from smelter.streaming import current_fact, refresh_fact_from_stream, stream_daily_fact
+from smelter.streaming import compact_fact, current_fact, refresh_fact_from_stream
 
 DAILY = {"daily": "gold.agg_t_daily"}
 
@@ -133,7 +134,7 @@ def test_proposals_and_names():
     merged = with_authored(list(proposed.values()), [mine], [one, two])
     assert [m.metric for m in merged] == sorted(proposed)
     assert next(m for m in merged if m.metric == "w").count_col == "a_count"
-    assert auto_questions(merged, ["x"], 1) == ["What is total A?", "A by x"]
+    assert auto_questions(merged, ["x"], 1) == ["A overall", "A per x"]
 
 
 def test_metric_files(spark, tmp_path):
@@ -223,11 +224,22 @@ def test_routing_words(spark):
     assert [(f["dim"], f["value"]) for f in loose[0]["filters"]] == [("promo", "0")]
 
 
-def test_value_dictionary_is_capped_and_sorted(spark):
-    fact = spark.range(500).select(F.format_string("v%03d", F.col("id")).alias("a"), (F.col("id") % 2 == 0).alias("b"))
+def test_value_dictionary_is_whole_and_sorted(spark):
+    fact = spark.range(300).select(F.format_string("v%03d", F.col("id")).alias("a"), (F.col("id") % 2 == 0).alias("b"))
     other = small_frame(spark, [("zz",), (None,)], "a string")
-    values = {r["dim"]: r["values"] for r in dim_values([(fact, ["a", "b"]), (other, ["a"])], cap=3).collect()}
-    assert values == {"a": ["v000", "v001", "v002", "zz"], "b": ["false", "true"]}
+    values = {r["dim"]: r["values"] for r in dim_values([(fact, ["a", "b"]), (other, ["a"])]).collect()}
+    assert values == {"a": [f"v{i:03d}" for i in range(300)] + ["zz"], "b": ["false", "true"]}
+
+
+def test_a_value_is_found_among_many_or_the_question_stays_open(spark):
+    fact = spark.range(300).select(F.format_string("city%d", F.col("id")).alias("city"), F.col("id").alias("v"))
+    sales = [Metric("v", "sum", measure="v", label="Sales", rollups={"daily": "gold.t"})]
+    asked = ["total sales for city250", "total sales for city999", "top 12345678901 sales by city", "sales for each city", "sales"]
+    answers, notes = answer_questions(spark, {"t": (fact, ["city"])}, sales, asked)
+    assert answers[1].first()["v"] == 250 and 2 not in answers
+    rows = {r["question_no"]: r for r in notes.collect()}
+    assert rows[1]["answered"] and not rows[2]["answered"] and "city999" in rows[2]["note"]
+    assert rows[3]["limit"] == 10 and rows[4]["breakdown"] == "city" and rows[5]["answered"]
 
 
 def test_a_breakdown_stays_in_the_metrics_fact(spark):
@@ -375,19 +387,50 @@ def test_metrics_without_variance(spark):
     assert none.asDict() == {"n": 0, "r2": None, "rmse": None, "mae": None}
 
 
-def test_model_recovers_the_truth(daily_sales):
-    contract = pick_fact(daily_sales.contracts)
-    assert (contract.grain, contract.dims, contract.measures) == ("date_day", ["region"], ["visits", "promo", "gmv"])
-    fact = daily_sales.table("gold", contract.table)
-    model, metrics = train(fact, contract, "gmv")
+def test_model_recovers_the_truth(kiosk):
+    contract = pick_fact(kiosk.contracts)
+    assert (contract.grain, contract.dims, contract.measures) == ("day_day", ["counter"], ["guests", "rain", "takings"])
+    fact = kiosk.table("gold", contract.table)
+    model, metrics = train(fact, contract, "takings", lam=1e-6)
     by_split = {r["split"]: r for r in metrics.collect()}
-    assert (by_split["train"]["n"], by_split["test"]["n"]) == (32, 8)
-    assert by_split["test"]["r2"] > 0.9
-    assert abs(model.coefficients()["visits"] - 5) < 0.6
-    case = small_frame(daily_sales.spark, [("W", 200, 1)], "region string, visits int, promo int")
-    assert abs(score(case, model).first()["prediction"] - 4000) < 400
-    assert model.schema.input_spec()["categorical"] == {"region": ["E", "N", "S", "W"]}
-    assert train(fact, contract)[0].schema.target == "gmv"
+    assert (by_split["train"]["n"], by_split["test"]["n"]) == (48, 12)
+    assert by_split["test"]["r2"] > 0.999
+    learned = model.coefficients()
+    assert learned["guests"] == pytest.approx(TAKINGS["guests"], abs=0.01) and learned["rain"] == pytest.approx(TAKINGS["rain"], abs=0.1)
+    case = small_frame(kiosk.spark, [("right", 77, 1)], "counter string, guests int, rain int")
+    assert score(case, model).first()["prediction"] == pytest.approx(takings("right", 77, 1), abs=0.5)
+    assert model.schema.input_spec()["categorical"] == {"counter": ["left", "middle", "right"]}
+    assert train(fact, contract)[0].schema.target == "takings"
+
+
+def test_gram_rows_do_not_depend_on_the_number_of_features(spark, monkeypatch):
+    from smelter.operators import learn as module
+    df = spark.range(30).select(F.col("id").cast("double").alias("y"), (F.col("id") % 3).cast("string").alias("c"))
+    schema = FeatureSchema("y", [], {"c": ["1", "2"]}, {"c": "0"})
+    dense = {(r["i"], r["j"]): r["value"] for r in gram_cells(df, schema).collect()}
+    monkeypatch.setattr(module, "_DENSE_LIMIT", 0)
+    assert dense == {(r["i"], r["j"]): r["value"] for r in gram_cells(df, schema).collect()}
+
+
+def test_sums_keep_their_digits_at_any_size(spark):
+    from smelter.operators.gold import decimal_scales
+    df = spark.range(100000).select(F.lit("2024-01-01").alias("day"), F.lit(4e-7).alias("small"), F.lit(1e33).alias("vast"),
+                                    F.when(F.col("id") == 5, float("nan")).otherwise(1.0).alias("broken"))
+    assert set(decimal_scales(df, ["small", "vast", "broken"])) == {"small"}
+    fact = build_daily_fact(df, "day", [], ["small", "vast"], "t", exact=True)
+    row = fact.first()
+    assert row["small"] == 0.04 and row["vast"] == pytest.approx(1e38)
+    assert {r["measure"]: r["result"] for r in reconcile(df, fact, ["small", "vast"]).collect()} == {"small": "pass", "vast": "pass"}
+    short = build_daily_fact(df.where("id > 0"), "day", [], ["small"], "t", exact=True)
+    assert reconcile(df, short, ["small"]).first()["result"] == "fail"
+
+
+def test_versions_of_null_and_repeated_keys(spark):
+    old = small_frame(spark, [(None, "a"), ("k", "b")], "id string, v string")
+    new = small_frame(spark, [(None, "a"), ("k", "c")], "id string, v string")
+    assert {r["id"]: r["status"] for r in version_diff(old, new, "id").collect()} == {None: "unchanged", "k": "changed"}
+    with pytest.raises(ValueError):
+        version_diff(old, new.unionByName(new), "id")
 
 
 # --- streaming ---------------------------------------------------------------
@@ -401,20 +444,25 @@ def zone(spark, request):
 
 def test_drained_stream_equals_batch(spark, skewed, tmp_path, zone):
     src, log = str(tmp_path / "src"), str(tmp_path / "log")
-    rows = skewed.withColumn("day", F.col("day").cast("timestamp"))
-    parts = [rows.where(F.col("_row_id") % 3 == i) for i in range(3)]
+    rows = skewed.withColumn("day", F.when(F.col("_row_id") % 11 != 0, F.col("day").cast("timestamp")))
+    # Every arrival has rows of days that others had before: late rows count.
+    parts = [rows.where("_row_id % 97 < 40"), rows.where("_row_id % 97 >= 40 and _row_id % 2 = 0 and day is not null"),
+             rows.where("_row_id % 97 >= 40 and (_row_id % 2 = 1 or day is null)")]
 
     def refresh():
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
-        fact = stream_daily_fact(stream, "day", ["dim"], ["amount"], "t", "200 days")
-        refresh_fact_from_stream(fact, log, str(tmp_path / "checkpoint")).awaitTermination()
+        refresh_fact_from_stream(stream, "day", ["dim"], ["amount"], "t", log, str(tmp_path / "checkpoint")).awaitTermination()
 
-    for part in parts:  # three refreshes, each picking up where the last one stopped
+    for number, part in enumerate(parts):  # three refreshes, each picking up where the last one stopped
         part.coalesce(1).write.mode("append").parquet(src)
         refresh()
+        if number == 1:
+            assert compact_fact(spark, log, "day_day", ["dim"]) == 1
     got = {tuple(r) for r in current_fact(spark, log, "day_day", ["dim"]).collect()}
     want = {tuple(r) for r in build_daily_fact(rows, "day", ["dim"], ["amount"], "t").collect()}
-    assert got == want
+    assert got == want and any(r[0] is None for r in got)
+    assert compact_fact(spark, log, "day_day", ["dim"]) == 2
+    assert {tuple(r) for r in current_fact(spark, log, "day_day", ["dim"]).collect()} == want
 
 
 def test_evaluation_covers_both_sides(spark):

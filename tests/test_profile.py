@@ -152,7 +152,7 @@ def test_keys_samples_roles(spark):
     assert [r["column"] for r in confirm_keys(df, estimated).collect()] == ["order_id"]
     samples = {r["column"]: r["samples"] for r in column_samples(df, order=["_row_id"]).collect()}
     assert samples["note"] == ["n1", "n2", "n3"] and samples["zone"] == ["A", "B", "C"]
-    pii = detect_pii(df, profile, "t", order=["_row_id"])
+    pii = detect_pii(df, profile, "t")
     assert {(r["column"], r["class"]) for r in pii.collect()} == {("zip", "address"), ("mail", "email")}
     roles = to_classification(classify_columns(profile, pii))
     assert (roles.grain, roles.measures, roles.dims, roles.keys) == ("booked", ["amount"], ["zone"], ["order_id"])
@@ -167,3 +167,29 @@ def test_quality_checks_warn_and_fail(spark, collect):
     empty = sparse.where(F.lit(False))
     checks = {r["check"]: r["result"] for r in collect(quality_checks(profile_columns(empty, "s")))}
     assert checks["s row_count > 0"] == "fail"
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_padding_never_changes_a_type(spark, exact):
+    pad = " " * 70
+    df = frame(spark, {
+        "flag": [f"no{pad}", "yes", f"{pad}no"], "day": [f"2024-01-06{pad}", "2024-02-01", ""], "n": [f"{pad}7", "8", pad],
+        "at": [f"{pad}2024-01-06 10:11:12", "2024-01-06 10:11:12", None], "word": [f"{pad}x", "y", "z"]})
+    types = {r["column"]: (r["type"], r["nulls"]) for r in profile_columns(df, "t", exact).collect()}
+    assert types == {"flag": ("boolean", 0), "day": ("date", 1), "n": ("integer", 1), "at": ("datetime", 1), "word": ("text", 0)}
+
+
+def test_integers_beyond_38_digits_stay_text(spark):
+    from smelter.operators.bronze import wide_integer_types
+    df = frame(spark, {"huge": ["9" * 40, "1"], "wide": ["9" * 30, "2"], "plain": ["3", "4"]})
+    types = {r["column"]: r["type"] for r in wide_integer_types(profile_columns(df, "t")).collect()}
+    assert types == {"huge": "text", "wide": "wide_integer", "plain": "integer"}
+    stored = cast_bronze(df, types).orderBy("_row_id").collect()
+    assert stored[0]["huge"] == "9" * 40 and int(stored[0]["wide"]) == int("9" * 30)
+
+
+def test_personal_data_are_found_beyond_the_first_rows(spark):
+    n = 300
+    df = frame(spark, {"reach": ["-" if i < 100 else f"u{i}@example.com" for i in range(n)],
+                       "few": ["-" if i % 3 else f"u{i}@example.com" for i in range(n)]})
+    assert {(r["column"], r["class"]) for r in detect_pii(df, profile_columns(df, "t"), "t").collect()} == {("reach", "email")}

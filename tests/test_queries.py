@@ -46,7 +46,6 @@ def test_filters_reach_the_scan(spark):
 
 def test_top_rows_are_cut_before_the_shuffle(spark):
     assert "row_number(), 10, Partial" in plan_of(spark, "breakdown_panels")
-    assert "row_number(), 100, Partial" in plan_of(spark, "dim_values")
     assert "row_number(), 1, Partial" in plan_of(spark, "silver_dedupe_key")
 
 
