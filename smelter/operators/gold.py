@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,10 +58,17 @@ def _decimal_sum(measure: str, scale: int):
 
 
 def write_fact(fact: DataFrame, path: str, day: str) -> DataFrame:
-    """Store a fact partitioned by month, so that date filters prune partitions."""
+    """Store a fact partitioned by month; :func:`read_fact` takes a range of days and reads its months only."""
     return land_table(fact.withColumn(MONTH, F.date_format(col(day), "yyyy-MM")), path, [MONTH]).drop(MONTH)
 
 
+def read_fact(spark: SparkSession, path: str, day: str, first_day: str, last_day: str) -> DataFrame:
+    """The rows of a stored fact between two days, both included, given as ``yyyy-MM-dd``."""
+    stored = spark.read.parquet(path)
+    months = F.col(MONTH).between(first_day[:7], last_day[:7])
+    return stored.where(months & col(day).between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))).drop(MONTH)
+
+
 def conform_dimension(silver: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
     """A reference table for gold: everything but personal data."""
     return silver.drop(*drop)

@@ -128,7 +128,7 @@ def route_questions(questions: DataFrame, metrics: Sequence[Metric], dims: Seque
     asked = F.nullif(F.regexp_extract(q, r"(top|bottom)\s+(\d+)", 2), F.lit("")).try_cast("int")
     wanted = F.nullif(F.trim(F.regexp_extract(q, r"\bfor\s+(?!each\b)([^?]*)", 1)), F.lit(""))
     known = [w for w in {t for t, _ in terms} | {d.lower() for d in dims} if w]
-    names_known = _has_any(F.col("_wanted"), known) if known else F.lit(False)
+    names_known = _has_any(_phrase(F.col("_wanted")), [_phrase_literal(w) for w in known]) if known else F.lit(False)
     routed = questions.withColumns({
         "_q": F.lower(col(question)), "_text": _phrase(col(question)) if whole_words else F.lower(col(question))})
     found = _named_values(routed.select("_text").distinct(), values, whole_words)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.names import table_ident
 from ..operators import audit, bronze, gold, learn, panels, profiling, query, silver
 from ..sources.discover import reader_kind, source_list
-from ..sources.landing import land_table, save_json, upsert_stage
+from ..sources.landing import land_table, load_gold, save_json, upsert_stage
 from ..sources.readers import SourceError, read_raw
 from .contract import CONTRACT_SCHEMA, Classification, GoldContract, contracts_frame, pick_fact
 from .metric import Metric, auto_questions, conformance, propose_metrics, version_metrics, with_authored
@@ -45,6 +45,11 @@ class MedallionRun:
         frame = self.spark.read.parquet(f"{self.base}/{layer}/{table}")
         return frame.drop(gold.MONTH) if layer == "gold" else frame
 
+    def fact_days(self, table: str, first_day: str, last_day: str) -> DataFrame:
+        """The rows of a fact between two days; months outside are not read."""
+        contract = next(c for c in self.contracts if c.table == table)
+        return gold.read_fact(self.spark, f"{self.base}/gold/{table}", contract.grain, first_day, last_day)
+
     def facts(self) -> dict[str, tuple[DataFrame, list[str]]]:
         return {c.table: (self.table("gold", c.table), c.dims) for c in self.contracts if c.kind == "fact"}
 
@@ -95,8 +100,16 @@ class MedallionRun:
         model, evaluation = learn.train(self.table("gold", contract.table), contract, target, lam)
         evaluation = pinned(evaluation)
         self._replace("model", *audit.model_rows(evaluation, model.schema.target, model.trained_on))
+        where = f"{self.base}/models/{model.schema.target}"
+        save_json(small_frame(self.spark, [(model.to_json(), model.hash, model.coefficients())],
+                              "model string, hash string, coefficients map<string,double>"), f"{where}/model")
+        save_json(evaluation, f"{where}/evaluation")
         return model, evaluation
 
+    def model(self, target: str) -> learn.LinearModel:
+        """A model that an earlier ``learn`` stored."""
+        return learn.LinearModel.from_json(self.spark.read.json(f"{self.base}/models/{target}/model").first()["model"])
+
     def seal(self) -> None:
         """Work out each stage's contract from its checks and store the audit tables."""
         quality = self.audit("quality")
@@ -200,6 +213,49 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def _contracts_of(rows: DataFrame) -> list[GoldContract]:
+    return [GoldContract(**{k: v for k, v in r.asDict(recursive=True).items() if v is not None})
+            for r in rows.orderBy("table").collect()]  # one row per gold table
+
+
+def _audit_of(spark: SparkSession, base: str) -> dict[str, list[tuple]]:
+    """The audit rows that a run stored, as its driver-side lists."""
+    found: dict[str, list[tuple]] = {}
+    for kind in audit.AUDIT_SCHEMAS:
+        stored = _stored(spark, f"{base}/audit/{kind}")
+        names = audit.audit_frame(spark, kind, []).columns
+        found[kind] = [] if stored is None else [tuple(r[n] for n in names) for r in stored.collect()]
+    return found
+
+
+def open_run(spark: SparkSession, base: str, name: str = "run") -> MedallionRun:
+    """A finished run from its folder: contracts, metrics with their versions, and audit rows. Questions, panels and
+    models work as they do right after the run; nothing is landed again."""
+    base = base.rstrip("/")
+    contracts = _contracts_of(spark.read.parquet(f"{base}/contracts"))
+    store = spark.read.parquet(f"{base}/metrics").where("status <> 'removed'").orderBy("metric").collect()
+    metrics = [Metric.from_dict({**r.asDict(recursive=True), "version": f"v{r['version']}"}) for r in store]
+    return MedallionRun(spark, base, name, contracts=contracts, metrics=metrics, audit_rows=_audit_of(spark, base))
+
+
+def run_from_gold(spark: SparkSession, tables: Mapping[str, str], contracts: Sequence[GoldContract], base: str,
+                  name: str = "run", authored: Sequence[Metric] = (), cadence: str = "daily") -> MedallionRun:
+    """Start from gold that somebody else built: ``tables`` names where each contract's table lies. Metrics, panels,
+    questions and models follow as after ``run_medallion``."""
+    run = MedallionRun(spark, base.rstrip("/"), name, contracts=list(contracts))
+    for contract in run.contracts:
+        supplied = load_gold(spark, tables[contract.table])
+        where = f"{run.base}/gold/{contract.table}"
+        stored = gold.write_fact(supplied, where, contract.grain) if contract.kind == "fact" else land_table(supplied, where)
+        run.note("lineage", "gold", f"gold.{contract.table}", [f"file:{tables[contract.table].rsplit('/', 1)[-1]}"], "supplied")
+        missing = sorted({*contract.dims, *contract.measures, contract.grain, contract.count_col} - {None, *stored.columns})
+        run.note("quality", "gold", f"gold.{contract.table} has its contract's columns", "fail" if missing else "pass",
+                 f"missing: {', '.join(missing) or 'none'}")
+    land_table(contracts_frame(spark, run.contracts), f"{run.base}/contracts")
+    _publish(run, authored, cadence)
+    return run
+
+
 def run_medallion(spark: SparkSession, paths: list[str], base: str, name: str = "run",
                   authored: Sequence[Metric] = (), pii_extra: Mapping[str, str] | None = None,
                   distinct_cols: Sequence[str] = (), exact_profile: bool = True,
@@ -224,6 +280,13 @@ def run_medallion(spark: SparkSession, paths: list[str], base: str, name: str =
     land_table(contracts_frame(spark, run.contracts) if run.contracts else small_frame(spark, [], CONTRACT_SCHEMA),
                f"{run.base}/contracts")
 
+    _publish(run, authored, cadence)
+    return run
+
+
+def _publish(run: MedallionRun, authored: Sequence[Metric], cadence: str) -> None:
+    """Metrics, conformance, panels and the sealed audit of a run whose gold is stored."""
+    spark = run.spark
     defined = with_authored(propose_metrics(run.contracts), list(authored), run.contracts)
     run.metrics, store = version_metrics(spark, defined, _stored(spark, f"{run.base}/metrics"))
     land_table(store, f"{run.base}/metrics")
@@ -244,4 +307,3 @@ def run_medallion(spark: SparkSession, paths: list[str], base: str, name: str =
                      f"{p['kind']} panel for {', '.join(p['visible_to'])}")
         run.note("quality", "panels", "panels built", "pass", f"{len(usable)} metrics")
     run.seal()
-    return run

@@ -7,6 +7,7 @@ and a re-run of a lost task stamps the same ids.
 
 from __future__ import annotations
 
+import csv
 import importlib.util
 import re
 from functools import reduce
@@ -20,7 +21,8 @@ from ..functions.text import flatten_nested, strip
 from .discover import reader_kind
 from .workbook import read_workbook
 
-_POSITION_MASK = (1 << 33) - 1
+_POSITION_BITS = 33
+_POSITION_MASK = (1 << _POSITION_BITS) - 1
 _HEAD_CHARS = 8192
 DELIMITERS = (",", ";", "\t", "|")
 
@@ -29,11 +31,24 @@ class SourceError(Exception):
     """A source that cannot be read. The caller reports it and goes on with the others."""
 
 
+def _bytes(text: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", text.lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def with_row_order(df: DataFrame) -> DataFrame:
-    """Add ``_source_file`` and ``_row_id`` to a scan of text, CSV or Parquet files."""
-    position = F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK))
+    """Add ``_source_file`` and ``_row_id`` to a scan of text or CSV files.
+
+    The id is the number of the split in its high bits and the row's place in the task below: unique in a file however
+    many rows a byte of a compressed split holds, and the same when a task is run again. Splits start at least
+    ``min(maxPartitionBytes, openCostInBytes)`` apart, so dividing by that tells them apart.
+    """
+    conf = df.sparkSession.conf
+    apart = max(1, min(_bytes(conf.get(f"spark.sql.files.{k}")) for k in ("maxPartitionBytes", "openCostInBytes")))
+    split = F.floor(F.col("_metadata.file_block_start") / apart).cast("long")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK))
     return df.select("*", F.col("_metadata.file_path").alias(SOURCE_FILE),
-                     (F.col("_metadata.file_block_start") + position).alias(ROW_ID))
+                     F.shiftleft(split, _POSITION_BITS).bitwiseOR(place).alias(ROW_ID))
 
 
 def _head(spark: SparkSession, path: str) -> str:
@@ -75,11 +90,42 @@ def read_text_table(spark: SparkSession, path: str, default_delimiter: str = ","
         multiline = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
     reader = (spark.read.option("header", True).option("sep", separator).option("quote", '"').option("escape", '"')
               .option("multiLine", multiline).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
+    headers = _headers(spark, path)
+    if headers.select("header").distinct().limit(2).count() > 1:
+        return _read_by_header(spark, path, headers, separator, multiline)
     names = reader.csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
     return with_row_order(reader.schema(schema).csv(path))
 
 
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """(_source_file, header): the first line of each file."""
+    first = with_row_order(spark.read.text(path).where(F.col("_metadata.file_block_start") == 0))
+    return first.groupBy(SOURCE_FILE).agg(F.min_by("value", ROW_ID).alias("header"))
+
+
+def _read_by_header(spark: SparkSession, path: str, headers: DataFrame, separator: str, multiline: bool) -> DataFrame:
+    """Files of one folder whose headers differ: each row is read by its own file's header, columns meet by name."""
+    if multiline:
+        raise SourceError("files with different headers and line breaks inside quotes: land them one by one")
+    lines = with_row_order(spark.read.text(path)).join(headers, SOURCE_FILE).where(F.col("value") != F.col("header"))
+    options = {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    groups = []
+    for header in [r["header"] for r in headers.select("header").distinct().orderBy("header").toLocalIterator()]:
+        names = next(csv.reader([header.removeprefix("\ufeff")], delimiter=separator))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
+        groups.append(lines.where(F.col("header") == header)
+                      .select(F.from_csv("value", _ddl(schema), options)
+                              .alias("r"), SOURCE_FILE, ROW_ID).select("r.*", SOURCE_FILE, ROW_ID))
+    merged = union_ragged(groups)
+    last = [CORRUPT, SOURCE_FILE, ROW_ID]
+    return merged.select(*[F.col(quoted(c)) for c in merged.columns if c not in last], *last)
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"{quoted(f.name)} string" for f in schema.fields)
+
+
 # --- JSON --------------------------------------------------------------------
 
 def _as_text_schema(data_type: T.DataType) -> T.DataType:

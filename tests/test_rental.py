@@ -43,7 +43,7 @@ def test_keys_dimensions_samples_in_catalog(rental):
     rides = by_column(rental, "rides")
     assert rides["ride_no"]["is_key"] and not rides["station"]["is_key"] and not rides["km"]["is_key"]
     assert {"bike", "subscribed"} <= {c for c, r in rides.items() if r["is_dimension"]}
-    assert rides["station"]["samples"] == ["Harbour", "Old Town", "Museum"]
+    assert rides["station"]["samples"] == [r["station"] for r in ROWS[:3]]
     assert rides["rider_mail"]["pii_class"] == "email"
     assert by_column(rental, "mechanics")["name"]["pii_class"] == "name"
 
@@ -174,3 +174,31 @@ def test_the_model_is_audited(kiosk, collect):
     rows = collect(kiosk.audit("quality").where("stage = 'model'"))
     assert [(r["check"], r["result"]) for r in rows] == [("model predicts takings", "pass")]
     assert "model.takings" in {r["output"] for r in collect(kiosk.governance()["outputs"])}
+
+
+def test_a_finished_run_is_opened_again(rental, collect):
+    from smelter import open_run
+    again = open_run(rental.spark, rental.base, "rental")
+    assert [m.metric for m in again.metrics] == [m.metric for m in rental.metrics]
+    assert sorted(c.table for c in again.contracts) == ["agg_rides_daily", "dim_mechanics"]
+    answers, receipts = again.ask(["fee by station"], save=False)
+    assert {r["station"]: float(r["fee"]) for r in answers[1].collect()} == total_by("station")
+    assert collect(receipts)[0]["version"] == "v1"
+    assert again.governance()["verdict"].first()["governed"] is True
+
+
+def test_supplied_gold_starts_a_run(rental, tmp_path):
+    from smelter import run_from_gold
+    contracts = [c for c in rental.contracts if c.kind == "fact"]
+    path = str(tmp_path / "supplied")
+    rental.table("gold", "agg_rides_daily").write.parquet(path)
+    run = run_from_gold(rental.spark, {"agg_rides_daily": path}, contracts, str(tmp_path / "run"))
+    assert [m.metric for m in run.metrics] == ["fee", "km", "rides"]
+    answers, _ = run.ask(["km overall"], save=False)
+    assert answers[1].first()["km"] == sum(r["km"] for r in ROWS)
+    days = run.fact_days("agg_rides_daily", "2025-03-11", "2025-03-13")
+    assert days.agg(F.sum("rides_count")).first()[0] == sum("2025-03-11" <= r["ride_day"] <= "2025-03-13" for r in ROWS)
+    scan = days._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_month" in scan
+    model, evaluation = run.learn("fee")
+    assert run.model("fee") == model and rental.spark.read.json(f"{run.base}/models/fee/evaluation").count() == evaluation.count()

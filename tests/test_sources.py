@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from smelter.functions import label_from_id, table_ident
 from smelter.operators import profile_columns
+from smelter.sources.readers import read_text_table
 from smelter.sources import (SourceError, discover_sources, read_documents, read_raw, reader_kind, sniff_delimiter,
                              union_ragged)
 
@@ -167,3 +168,28 @@ def test_ragged_union_keeps_first_seen_order(spark):
     merged = union_ragged([a, b])
     assert merged.columns == ["x", "y", "z"]
     assert merged.where(F.col("y").isNull()).first().asDict() == {"x": 4, "y": None, "z": 3}
+
+
+def test_files_of_a_folder_keep_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,name\n1,"x, y"\n2,z\n')
+    (tmp_path / "b.csv").write_text("name,id,extra\nw,3,more\n")
+    df = read_text_table(spark, str(tmp_path))
+    rows = {(r["id"], r["name"], r["extra"]) for r in df.collect()}
+    assert rows == {("1", "x, y", None), ("2", "z", None), ("3", "w", "more")}
+    assert df.select("_source_file", "_row_id").distinct().count() == 3
+
+
+def test_row_ids_of_a_compressed_file_in_many_splits(spark, tmp_path):
+    import bz2
+    path = tmp_path / "n.csv.bz2"
+    path.write_bytes(bz2.compress(("n\n" + "\n".join("7" * 3 for _ in range(1_200_000)) + "\n").encode(), 1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        df = read_text_table(spark, str(path), multiline=False)
+        assert df.rdd.getNumPartitions() > 1
+        assert df.select("_row_id").distinct().count() == 1_200_000 == df.count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
