@@ -2,24 +2,26 @@
 
 A text is cut into words by the tokenizer's pattern. Each word's bytes are folded: of all neighbouring pairs the one
 with the lowest rank merges, until no pair has a rank. Ranks of pairs lie in a perfect hash table that every task gets
-as one literal row, so a look-up is two array accesses. A second table of fixed size holds the encoded form of frequent
+as the value of a subquery, so a look-up is two array accesses. A second table of fixed size holds the encoded form of frequent
 words; it only saves work: a word that is not in it is folded in place. Decoding joins the tokens' bytes.
 """
 
 from __future__ import annotations
 
 import base64
-import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import fraction_below, let
 
 #: Slots of the table of frequent words, and of how many documents (about) it takes the words.
-WORD_SLOTS, WORD_SAMPLE = 1 << 17, 8000
+WORD_SLOTS, WORD_SAMPLE = 1 << 19, 40_000
 _NONE = -1
+_TABLES, _FREQUENT = "__rank_tables__", "__frequent_words__"
 #: Bits of an id or rank in the state of a fold; the highest such number stands for no rank.
 _BITS = 17
 _LAST = (1 << _BITS) - 1
@@ -73,32 +75,37 @@ def _perfect_hash(pairs: dict[int, int]) -> tuple[int, list[int], list[int]]:
     return slots, shifts, ranks
 
 
-def _integers(values: list[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+def _one_row(spark: SparkSession, rows: DataFrame, label: str) -> Column:
+    """A one-row table, stored in the shared folder, as the value of a scalar subquery: read once and sent with tasks."""
+    path = scratch_path(spark, label)
+    rows.coalesce(1).write.parquet(path)
+    stored = spark.read.parquet(path)
+    return stored.select(F.struct(*stored.columns).alias("t")).scalar()
 
 
-def rank_tables(ranks: Ranks) -> Column:
-    """The tables as one literal, of a size that the vocabulary bounds."""
+def rank_tables(spark: SparkSession, ranks: Ranks) -> Column:
+    """The tables as one value, of a size that the vocabulary bounds."""
     rank_of = {piece: rank for rank, piece in enumerate(ranks.pieces)}
     bytes_first = [rank_of.get(bytes([a, b]), _LAST) for a in range(256) for b in range(256)]
-    return F.struct(_integers(ranks.byte_ids).alias("byte_ids"), _integers(bytes_first).alias("first"),
-                    _integers(ranks.shifts).alias("shifts"), _integers(ranks.ranks).alias("ranks"),
-                    _pieces(ranks).alias("pieces"))
-
-
-def _pieces(ranks: Ranks) -> Column:
-    return F.split(F.lit(",".join(p.hex() for p in ranks.pieces)), ",")
+    whole = pa.list_(pa.int32())
+    table = pa.table({"byte_ids": pa.array([ranks.byte_ids], whole), "first": pa.array([bytes_first], whole),
+                      "shifts": pa.array([ranks.shifts], whole), "ranks": pa.array([ranks.ranks], whole),
+                      "pieces": pa.array([[p.hex() for p in ranks.pieces]], pa.list_(pa.string()))})
+    return _one_row(spark, spark.createDataFrame(table), "bpe-ranks")
 
 
 def _rank(tables: Column, ranks: Ranks, left: Column, right: Column) -> Column:
-    """The rank of a pair of tokens, or ``_LAST``. The slot of any other pair is empty or holds other bytes."""
-    key = left * len(ranks.pieces) + right
-    slot = (key + F.element_at(tables["shifts"], (key % _BUCKETS + 1).cast("int")) * (key % _STRIDES + 1)) % ranks.slots
+    """The rank of a pair of tokens, or ``_LAST``. The slot of any other pair is empty or holds other bytes. Both sides
+    are looked at several times: pass variables rather than long expressions."""
+    def slot(key: Column) -> Column:
+        shift = F.element_at(tables["shifts"], (key % _BUCKETS + 1).cast("int"))
+        return ((key + shift * (key % _STRIDES + 1)) % ranks.slots + 1).cast("int")
 
     def piece(i: Column) -> Column:
         return F.element_at(tables["pieces"], (i + 1).cast("int"))
-    return let(F.element_at(tables["ranks"], (slot + 1).cast("int")), lambda found: F.when(
-        (found != _NONE) & (piece(found) == F.concat(piece(left), piece(right))), found).otherwise(_LAST))
+    found = let(left * len(ranks.pieces) + right, lambda key: F.element_at(tables["ranks"], slot(key)))
+    return let(found, lambda rank: F.when(rank == _NONE, _LAST).when(
+        piece(rank) == F.concat(piece(left), piece(right)), rank).otherwise(_LAST))
 
 
 def fold_word(word: Column, tables: Column, ranks: Ranks) -> Column:
@@ -134,16 +141,15 @@ def _lowest(state: Column) -> Column:
 
 def _merge(state: Column, lowest: Column, tables: Column, ranks: Ranks) -> Column:
     """Merge the leftmost pair of the lowest rank (which is the merged token's id) and look up its new neighbours."""
-    low, place = F.shiftright(lowest, 32), (lowest.bitwiseAND(F.lit((1 << 32) - 1)) + 1).cast("int")
-
-    def at(p: Column) -> Column:
-        after = F.when(p + 1 < F.size(state), _rank(tables, ranks, low, _id(F.element_at(state, F.least(p + 2, F.size(state)))))
-                       ).otherwise(_LAST)
-        merged = F.array(_packed(after, low))
-        before = let(_id(F.element_at(state, F.greatest(p - 1, F.lit(1)))), lambda x: F.array(_packed(_rank(tables, ranks, x, low), x)))
+    def at(low: Column, p: Column) -> Column:
+        after = F.when(p + 1 < F.size(state), let(_id(F.element_at(state, p + 2)), lambda x: _packed(
+            _rank(tables, ranks, low, x), low))).otherwise(_packed(F.lit(_LAST), low))
         rest = F.slice(state, p + 2, F.size(state))
-        return F.when(p > 1, F.concat(F.slice(state, F.lit(1), p - 2), before, merged, rest)).otherwise(F.concat(merged, rest))
-    return let(place, at)
+        return F.when(p > 1, let(_id(F.element_at(state, p - 1)), lambda x: F.concat(
+            F.slice(state, F.lit(1), p - 2), F.array(_packed(_rank(tables, ranks, x, low), x), after), rest))
+        ).otherwise(F.concat(F.array(after), rest))
+    return let(F.shiftright(lowest, 32), lambda low: let(
+        (lowest.bitwiseAND(F.lit((1 << 32) - 1)) + 1).cast("int"), lambda p: at(low, p)))
 
 
 def _words(text: Column, pattern: str) -> Column:
@@ -156,10 +162,12 @@ def _word_slot(word: Column) -> Column:
 
 
 class ByteBpe:
-    """Encoder and decoder as column functions."""
+    """Encoder and decoder of documents. The tables are columns of their own below the folds: subqueries may not stand
+    inside lambda functions, and the optimizer puts the value in where it is used."""
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
-        self.pattern, self.ranks = pattern, read_ranks(ranks_path)
+    def __init__(self, spark: SparkSession, ranks_path: str, pattern: str) -> None:
+        self.spark, self.pattern, self.ranks = spark, pattern, read_ranks(ranks_path)
+        self._tables = rank_tables(spark, self.ranks)
         self._frequent: Column | None = None
 
     def learn_frequent_words(self, texts: DataFrame, sample: int = WORD_SAMPLE) -> None:
@@ -171,27 +179,42 @@ class ByteBpe:
         chosen = texts.where(fraction_below(F.col("key"), F.lit(min(1.0, sample / max(total, 1)))))
         counted = chosen.select(F.explode(_words(F.col("text"), self.pattern)).alias("word")).groupBy("word").count()
         winners = (counted.where(F.col("count") > 1).groupBy(_word_slot(F.col("word")).alias("slot"))
-                   .agg(F.max_by("word", F.struct("count", "word")).alias("word")))
-        encoded = winners.select("slot", "word", let(rank_tables(self.ranks), lambda t: fold_word(F.col("word"), t, self.ranks)).alias("ids"))
-        known: list = [None] * WORD_SLOTS
-        for r in encoded.collect():  # at most WORD_SLOTS rows
-            known[r["slot"]] = {"w": r["word"], "i": r["ids"]}
-        self._frequent = F.from_json(F.lit(json.dumps(known, separators=(",", ":"))), "array<struct<w:string,i:array<int>>>")
-
-    def encode(self, text: Column) -> Column:
-        """Token ids of a text, without special tokens; a NULL text is empty."""
-        words = _words(F.coalesce(text, F.lit("")), self.pattern)
-        tables = rank_tables(self.ranks)
+                   .agg(F.max_by("word", F.struct("count", "word")).alias("w")))
+        encoded = winners.withColumn("t", self._tables).select("slot", "w", let(
+            F.col("t"), lambda t: fold_word(F.col("w"), t, self.ranks)).alias("i"))
+        slots = self.spark.range(WORD_SLOTS).select(F.col("id").cast("int").alias("slot"))
+        # WORD_SLOTS rows become one array in order of their slots: a table of fixed size.
+        placed = slots.join(encoded, "slot", "left").agg(F.array_sort(F.collect_list(F.struct("slot", "w", "i"))).alias("words"))
+        self._frequent = _one_row(self.spark, placed.select(F.transform("words", lambda x: F.struct(
+            x["w"].alias("w"), x["i"].alias("i"))).alias("words")), "bpe-words")
+
+    def encode(self, docs: DataFrame, text: str, coded: str = "coded") -> DataFrame:
+        """``docs`` with a struct of ``ids``, the token ids of a text without special tokens, and ``decoded``, the bytes
+        they decode to. A NULL text is empty."""
+        def both(ids: Column, t: Column) -> Column:
+            return let(ids, lambda i: F.struct(i.alias("ids"), self._bytes(i, t).alias("decoded")))
+
+        def fold_all(t: Column) -> Column:
+            return both(F.flatten(F.transform(words, lambda w: fold_word(w, t, self.ranks))), t)
+
+        def look_up(t: Column, table: Column) -> Column:
+            return both(F.flatten(F.transform(words, lambda w: let(F.element_at(table, _word_slot(w) + 1), lambda known: F.when(
+                known["w"] == w, known["i"]).otherwise(fold_word(w, t, self.ranks))))), t)
+        words = _words(F.coalesce(F.col(text), F.lit("")), self.pattern)
         if self._frequent is None:
-            return let(tables, lambda t: F.flatten(F.transform(words, lambda w: fold_word(w, t, self.ranks))))
-        return let(tables, lambda t: let(self._frequent, lambda table: F.flatten(F.transform(
-            words, lambda w: let(F.element_at(table, _word_slot(w) + 1), lambda known: F.when(
-                known["w"] == w, known["i"]).otherwise(fold_word(w, t, self.ranks)))))))
+            return docs.withColumn(_TABLES, self._tables).withColumn(coded, let(F.col(_TABLES), fold_all)).drop(_TABLES)
+        return (docs.withColumns({_TABLES: self._tables, _FREQUENT: self._frequent})
+                .withColumn(coded, let(F.col(_TABLES), lambda t: let(F.col(_FREQUENT), lambda f: look_up(t, f["words"]))))
+                .drop(_TABLES, _FREQUENT))
+
+    @staticmethod
+    def _bytes(ids: Column, t: Column) -> Column:
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(t["pieces"], i + 1)), ""))
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of the tokens, joined; they are a text where the ids came from one."""
-        return let(_pieces(self.ranks), lambda pieces: F.unhex(F.array_join(
-            F.transform(ids, lambda i: F.element_at(pieces, i + 1)), "")))
+    def decode(self, docs: DataFrame, ids: str, decoded: str = "decoded") -> DataFrame:
+        """``docs``, a stored table, with the bytes of its token ids, joined."""
+        return docs.withColumn(_TABLES, self._tables).withColumn(
+            decoded, let(F.col(_TABLES), lambda t: self._bytes(F.col(ids), t))).drop(_TABLES)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
@@ -201,8 +224,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
     NULL texts are empty: no ids, no bytes. Rows that repeat stay; texts are read whole; an empty table gives an empty
     table; other columns are not read.
     """
-    coder = ByteBpe(ranks_path, pattern)
+    coder = ByteBpe(docs.sparkSession, ranks_path, pattern)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     coder.learn_frequent_words(rows.select(F.col("doc_id").alias("key"), "text"), sample)
-    coded = rows.select("doc_id", coder.encode(F.col("text")).alias("ids"))
-    return coded.select("doc_id", "ids", coder.decode(F.col("ids")).alias("decoded"))
+    return coder.encode(rows, "text").select("doc_id", "coded.ids", "coded.decoded")

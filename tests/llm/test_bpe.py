@@ -51,10 +51,12 @@ def test_odd_texts_and_the_round_trip(make_docs, exact):
 
 def test_ids_do_not_depend_on_the_table_of_frequent_words(make_docs, exact):
     docs = make_docs([(i, t * 2) for i, t in enumerate(ODD)])
-    coder = bpe.ByteBpe(PATH, public_tokenizers.PATTERN)
-    bare = {r["doc_id"]: r["ids"] for r in docs.select("doc_id", coder.encode(F.col("text")).alias("ids")).collect()}
+    coder = bpe.ByteBpe(docs.sparkSession, PATH, public_tokenizers.PATTERN)
+    bare = {r["doc_id"]: r["coded"]["ids"] for r in coder.encode(docs, "text").collect()}
+    stored = docs.limit(1).select(F.array(*[F.lit(i) for i in exact.encode_ordinary("give back")]).alias("ids"))
+    assert bytes(coder.decode(stored, "ids").first()["decoded"]) == b"give back"
     coder.learn_frequent_words(docs.select(F.col("doc_id").alias("key"), "text"))
-    assert bare == {r["doc_id"]: r["ids"] for r in docs.select("doc_id", coder.encode(F.col("text")).alias("ids")).collect()}
+    assert bare == {r["doc_id"]: r["coded"]["ids"] for r in coder.encode(docs, "text").collect()}
 
 
 def test_every_pair_of_a_vocabulary_has_a_place_of_its_own(tmp_path):
