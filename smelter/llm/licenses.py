@@ -1,6 +1,6 @@
 """Licence scan by canonical digest: texts that differ only in case, punctuation, copyright lines or spelling share one.
 
-A text is canonical after five steps: lower case, copyright lines dropped, every run of other characters than letters
+A text is canonical after five steps: lower case, copyright notices dropped (lines with a mark, a year or a name), every run of other characters than letters
 and digits made one blank, equivalent spellings made one, blanks trimmed. Whole texts are hash-joined to the digests
 of known licences; the table of known digests is the library's own list, so its size is bounded. Lines of a document
 are texts too: a line that is a known notice as a whole is reported beside the document's own match.
@@ -8,6 +8,8 @@ are texts too: a line that is a known notice as a whole is reported beside the d
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +78,29 @@ KNOWN: tuple[tuple[str, str], ...] = (
 
 #: A line that can be a notice holds one of these. Checked against the list when notices are looked up.
 STEMS = ("licens", "licenc")
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
+_MARKED = r"\(c\)|©|[12][0-9]{3}|[\[<{]y"
+_AFTER_COPYRIGHT = rf"copyright[^\w\n]*(?:{_MARKED})|copyright[\W_]+([^\W\d_]+)"
+
+
+def _body_words(known) -> set[str]:
+    """Words that follow 'copyright' in the licences themselves: a line that starts so is no notice."""
+    found = {m.group(1) for _, text in known for m in re.finditer(_AFTER_COPYRIGHT, text.lower()) if m.group(1)}
+    return found | {f"{w}{s}" for w in ("holder", "owner", "notice", "law", "license", "licence") for s in ("", "s")}
+
+
+def _other_word(words: set[str], inside: bool = False) -> str:
+    """A pattern for the start of any word that is not one of ``words``, without look-ahead: DuckDB's engine has none."""
+    heads = sorted({w[0] for w in words if w})
+    ways = [h + _other_word({w[1:] for w in words if w[:1] == h}, True) for h in heads]
+    ways.append(f"[^{''.join(heads)}\\P{{L}}]")
+    if inside and "" not in words:
+        ways.append(r"(?:[^\p{L}\n]|$)")
+    return f"(?:{'|'.join(ways)})"
+
+
+#: A line that is a notice: a mark, a year or a name follows. A body line that happens to start with 'copyright' stays.
+COPYRIGHT_LINE = (r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[^\p{L}\p{N}\n]*(?:" + _MARKED + r")|copyright[^\p{L}\p{N}\n]+"
+                  + _other_word(_body_words(KNOWN)) + r"|\(c\)[^\p{L}\p{N}\n]*(?:copyright|[12][0-9]{3})|©)[^\n]*$")
 _OTHER = r"[^\p{L}\p{N}]+"
 
 
