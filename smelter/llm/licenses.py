@@ -9,6 +9,7 @@ are texts too: a line that is a known notice as a whole is reported beside the d
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,53 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
 
+_TITLES = {"BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+           "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License")}
+#: Licences named by a notice of one line, as "Licensed under the ... ."
+_NAMES = {
+    "MIT": ("the MIT License",), "ISC": ("the ISC License",), "BSD-2-Clause": ("the BSD 2-Clause License",),
+    "BSD-3-Clause": ("the BSD 3-Clause License",), "Apache-2.0": ("the Apache License, Version 2.0", "the Apache License 2.0"),
+    "GPL-2.0": ("the GNU General Public License, version 2",), "GPL-3.0": ("the GNU General Public License, version 3",),
+    "LGPL-2.1": ("the GNU Lesser General Public License, version 2.1",),
+    "LGPL-3.0": ("the GNU Lesser General Public License, version 3",),
+    "AGPL-3.0": ("the GNU Affero General Public License, version 3",),
+    "MPL-2.0": ("the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0"), "Unlicense": ("the Unlicense",),
+    **{f"CC-{code.upper().replace(' ', '-')}-4.0": (f"CC {code} 4.0", f"a Creative Commons {words} 4.0 International License")
+       for code, words in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial",
+                           "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+                           "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items()},
+}
+_SPDX = {**{name: (name,) for name in ("0BSD", "BSL-1.0", "Zlib", "CC0-1.0", "EPL-2.0", "Artistic-2.0", *_NAMES)},
+         **{name: (name, f"{name}-only", f"{name}-or-later", f"{name}+")
+            for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")}}
+
+
+def _full_texts() -> list[tuple[str, str]]:
+    """The published files beside this module; those with an appendix on how to apply them also without it, each as
+    published and with one line a paragraph (then a notice's line is its paragraph)."""
+    bsd = (Path(__file__).parent / "license_texts" / "BSD-3-Clause.txt").read_text()
+    texts = []
+    for body, name in ((bsd, "BSD-3-Clause"), (re.sub(r"(?ms)^3\..*?\n\n", "", bsd), "BSD-2-Clause")):
+        for marked in (body, re.sub(r"(?m)^[0-9]\.", "*", body)):
+            for rights in ("", "All rights reserved.\n\n"):
+                texts += [(name, head + rights + marked) for head in ("", *[t + "\n\n" for t in _TITLES[name]])]
+    for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        name, body = file.stem, file.read_text()
+        if name == "BSD-3-Clause":
+            continue
+        ends = re.search(r"END OF TERMS AND CONDITIONS", body)
+        for text in (body, *([body[:ends.end()]] if ends else [])):
+            flat = "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", text))
+            texts += [(name, text), (name, flat)]
+    return texts
+
+
+KNOWN += (*_full_texts(),
+          *((name, f"{verb} under {words}.") for name, forms in _NAMES.items() for words in forms
+            for verb in ("Licensed", "Released", "Distributed", "This work is licensed", "This project is licensed")
+            if "licens" in f"{verb} {words}".lower()),
+          *((name, f"SPDX-License-Identifier: {spelled}") for name, forms in _SPDX.items() for spelled in forms))
+
 #: A line that can be a notice holds one of these. Checked against the list when notices are looked up.
 STEMS = ("licens", "licenc")
 _MARKED = r"\(c\)|©|[12][0-9]{3}|[\[<{]y"
@@ -124,6 +172,12 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
+def load_known(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...]:
+    """The library's list and the rows of a Parquet table (license, text) that says what else is to be known."""
+    rows = spark.read.parquet(path).select("license", "text").where("license is not null and text is not null").collect()
+    return KNOWN + tuple((r["license"], r["text"]) for r in rows)
+
+
 def scan_licenses(docs: DataFrame, known=KNOWN, text: str = "text") -> DataFrame:
     """``docs`` with ``license`` (of the whole text, else NULL), ``notices`` (licences of lines that are known notices,
     sorted, each once) and ``n_notices`` (such lines). Columns of these names are replaced.
@@ -134,8 +188,9 @@ def scan_licenses(docs: DataFrame, known=KNOWN, text: str = "text") -> DataFrame
     spark = docs.sparkSession
     if not all(any(stem in body.lower() for stem in STEMS) for _, body in known if "\n" not in body):
         raise ValueError("a known notice of one line lacks the stem that lines are told by")
-    table = known_digests(spark, known)
-    pairs = [(r["digest"], r["license"]) for r in table.collect()]  # as many as the list has texts
+    pairs = [(r["digest"], r["license"]) for r in known_digests(spark, known).collect()]  # as many as the list has texts
+    table = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(n).alias("license"))
+                                                     for d, n in pairs])))  # digests: the plan need not hold the texts
     literal = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"),
                      lambda line: F.rlike(F.lower(line), F.lit("|".join(STEMS))))
