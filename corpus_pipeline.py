@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from smelter.llm import bpe, mixing, pii, similar, toxicity
+from smelter.llm import bpe, mixing, pii, simhash, toxicity
 from smelter.session import shared_dir
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
@@ -21,8 +21,8 @@ def without_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays that pairs with five-word Jaccard similarity of 0.8 or more join."""
-    return similar.drop_similar(docs)
+    """One document of each group stays whose SimHash fingerprints (three-word shingles, three bits) link."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
