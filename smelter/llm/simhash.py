@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import quoted
 from ..session import durable
 from .graph import EDGES, Forest, components, spanning_pairs
 
@@ -26,7 +27,7 @@ MAX_BITS = 3
 BLOCK_WIDTHS = (11, 11, 11, 11, 10, 10)
 TILE = 2048
 _COUNT_CHUNK = 1 << 16
-_PRINT = "__text_print__"
+_PRINT = "__row_print__"
 
 
 def fingerprint_of(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -55,6 +56,12 @@ def _fingerprint_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
 
+def _printed_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.fromiter((fingerprint_of(x or b"") for x in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["id", "print", "fp"])
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): one row per row of ``docs``; ``fp`` is the fingerprint's 64 bits as a signed long."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -128,22 +135,26 @@ def fingerprint_hex(fp="fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each group the one with the smallest doc_id, all columns unchanged.
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that stay: exactly one row of each group of linked rows, all columns unchanged.
 
-    Rows that repeat the id that stays leave one row. Rows without doc_id belong to groups too: one of them stays
-    where the group has no row with an id, told apart by text.
+    Of a group the row with the smallest doc_id stays; rows without doc_id come last, equal ids are told apart by a
+    hash of the whole row, and of rows equal in every column one stays. An id that repeats with different texts is
+    two documents: each belongs to the group of its own fingerprint. NULL and blank texts are one group. An empty table
+    gives an empty table; columns of any name may stand beside.
     """
-    marked = durable(near_duplicates(docs))
-    keep = marked.where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
-    staying = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    lone = marked.where("doc_id is null and component_id is null")
-    if not lone.isEmpty():
-        anonymous = docs.where("doc_id is null").withColumn(_PRINT, F.xxhash64("text"))
-        own = fingerprints(anonymous, _PRINT).distinct()
-        groups = components(near_edges(own.select("fp").distinct())).withColumnRenamed("node", "fp")
-        chosen = (own.join(lone.select("fp").distinct(), "fp").join(groups, "fp", "left")
-                  .groupBy(F.coalesce("component", "fp").alias("g")).agg(F.min("doc_id").alias(_PRINT)))
-        staying = staying.unionByName(anonymous.join(chosen.select(_PRINT), _PRINT, "left_semi")
-                                      .dropDuplicates([_PRINT]).select(*docs.columns))
-    return staying
+    others = [F.col(quoted(c)) for c in docs.columns if c not in (doc_id, text)]
+    marked = docs.withColumn(_PRINT, F.xxhash64(F.col(quoted(text)), F.to_json(F.struct(*others)) if others else F.lit(0)))
+    rows = durable(marked.select(F.col(quoted(doc_id)).cast("long").alias("id"), F.col(_PRINT).alias("print"),
+                                 F.col(quoted(text)).cast("binary").alias("text"))
+                   .mapInArrow(_printed_batches, "id long, print long, fp long"))
+    # One row per fingerprint from here on: a fingerprint that a third of all rows hold is one row, made map-side.
+    classes = durable(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "print")).alias("first")))
+    groups = components(near_edges(classes)).withColumnRenamed("node", "fp")
+    first = (classes.join(groups, "fp", "left").groupBy(F.coalesce("component", "fp").alias("group"))
+             .agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id__"), F.col("first.print").alias("__first__")))
+    staying = marked.join(first, F.col(quoted(doc_id)).eqNullSafe(F.col("__id__")) & (F.col(_PRINT) == F.col("__first__")), "left_semi")
+    twice = rows.join(first, F.col("id").eqNullSafe(F.col("__id__")) & (F.col("print") == F.col("__first__")), "left_semi")
+    if not twice.groupBy("id", "print").count().where("count > 1").isEmpty():
+        staying = staying.dropDuplicates([doc_id, _PRINT])
+    return staying.select(*[F.col(quoted(c)) for c in docs.columns])

@@ -94,6 +94,16 @@ def test_empty_table_and_clashing_columns(make_docs):
     assert [(r["doc_id"], r["fp"], r["component_id"], r["node"]) for r in kept] == [(1, "x", "y", "z")]
 
 
+def test_one_row_of_each_group_stays_whatever_ids_repeat(make_docs):
+    first, other = "red green blue white black grey", "one two three four five six seven"
+    docs = make_docs([(2, first, "en"), (2, other, "en"), (2, other, "en"), (3, first, "de"), (4, other, "en"), (5, "a b c", "en"),
+                      (5, "a b c", "fr"), (None, "lone row without an id"), (None, "lone row without an id"), (6, None), (7, "")])
+    kept = sorted(((r["doc_id"] or 0, r["text"], r["lang"]) for r in simhash.drop_near_duplicates(docs.repartition(5)).collect()), key=repr)
+    assert [k[:2] for k in kept] == [(0, "lone row without an id"), (2, other), (2, first), (5, "a b c"), (6, None)]
+    again = simhash.drop_near_duplicates(docs.repartition(3)).collect()
+    assert sorted(((r["doc_id"] or 0, r["text"], r["lang"]) for r in again), key=repr) == kept
+
+
 def test_components_of_long_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (7, 3)]
     rows = spark.createDataFrame(chain, "src long, dst long").repartition(7)
