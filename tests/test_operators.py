@@ -4,8 +4,8 @@ import json
 
 import numpy as np
 import pytest
-from conftest import TAKINGS, takings
 from pyspark.sql import functions as F
+from shared_rows import TAKINGS, takings
 
 from smelter.functions import format_metric, round_metric
 from smelter.operators import (answer_questions, build_daily_fact, category_vocabulary, contract_rows, dedupe_all,

@@ -3,8 +3,8 @@
 from collections import defaultdict
 
 import pytest
-from conftest import MECHANICS, RIDE_COLUMNS, RIDES
 from pyspark.sql import functions as F
+from shared_rows import MECHANICS, RIDE_COLUMNS, RIDES
 
 from smelter.operators import answer_questions, metric_query, panels_for_role, rollup_metric
 
