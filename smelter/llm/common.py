@@ -30,3 +30,22 @@ def let(value: Column, body) -> Column:
 def fraction_below(key: Column, share: Column) -> Column:
     """True for about ``share`` of all keys, the same ones in every run."""
     return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < (share * (1 << 30)).cast("long")
+
+
+class Kept:
+    """Answers a worker keeps, at most ``2 * size`` of them: when the young ones are full they become the old ones, and an
+    old one that is asked for is young again."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def put(self, key, value):
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+        return value
+
+    def from_old(self, key):
+        """The value of a key that is not among the young ones, or None."""
+        value = self.old.get(key)
+        return None if value is None else self.put(key, value)

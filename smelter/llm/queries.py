@@ -9,10 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, language, licenses, mixing, pii, sharding, simhash, topk, toxicity
+from . import bpe, embeddings, language, licenses, mixing, pieces, pii, sharding, simhash, topk, toxicity
 from .common import table
 
-RANKS_FILE = corpus_pipeline.RANKS_FILE
+RANKS_FILE, PIECES_FILE = corpus_pipeline.RANKS_FILE, "piece_bpe_32k.model"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -127,6 +127,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op13_sentence_pieces")
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES_FILE))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
