@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, language, licenses, mixing, pieces, pii, sharding, simhash, topk, toxicity
+from . import bpe, embeddings, language, licenses, mixing, pieces, pii, ranked, sharding, simhash, topk, toxicity
 from .common import table
 
 RANKS_FILE, PIECES_FILE = corpus_pipeline.RANKS_FILE, "piece_bpe_32k.model"
@@ -127,6 +127,28 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+_TERMS = (r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+
+@query("op12_ranked_search", f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
+    words AS (SELECT r, doc_id, unnest({_TERMS.format(text='text')}) AS term FROM d),
+    sizes AS (SELECT r, count(*)::BIGINT AS n FROM words GROUP BY r),
+    whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM sizes),
+    asked AS (SELECT DISTINCT i, item_id, term FROM (SELECT i, item_id, unnest({_TERMS.format(text='text')}) AS term
+              FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark WHERE text IS NOT NULL))),
+    tfs AS (SELECT r, doc_id, term, count(*)::BIGINT AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    dfs AS (SELECT term, count(*)::BIGINT AS df FROM tfs GROUP BY term),
+    scored AS (SELECT i, item_id, r, doc_id, sum(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT
+                 * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // total)))))::BIGINT AS score
+               FROM asked JOIN tfs USING (term) JOIN dfs USING (term) JOIN sizes USING (r), whole GROUP BY i, item_id, r, doc_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""")
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_sentence_pieces")
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES_FILE))
