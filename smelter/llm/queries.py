@@ -9,10 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, language, licenses, mixing, pieces, pii, ranked, sharding, simhash, topk, toxicity
+from . import alignment, bpe, embeddings, language, licenses, mixing, pieces, pii, ranked, sharding, simhash, topk, toxicity
 from .common import table
 
-RANKS_FILE, PIECES_FILE = corpus_pipeline.RANKS_FILE, "piece_bpe_32k.model"
+RANKS_FILE, PIECES_FILE, TABLE_FILE = corpus_pipeline.RANKS_FILE, "piece_bpe_32k.model", "byte_bpe_50k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -127,6 +127,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TABLE_FILE), public_tokenizers.path(PIECES_FILE))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return alignment.score_links(aligned.withColumn("groups_sha256", digest).drop("groups"),
+                                 alignment.piece_count(public_tokenizers.path(PIECES_FILE)))
+
+
 _TERMS = (r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
 
