@@ -1,27 +1,41 @@
-"""Byte-level BPE in Spark's higher-order functions.
+"""Byte-level BPE: distinct words are folded in Spark's higher-order functions, documents are put together from them.
 
-A text is cut into words by the tokenizer's pattern. Each word's bytes are folded: of all neighbouring pairs the one
-with the lowest rank merges, until no pair has a rank. Ranks of pairs lie in a perfect hash table that every task gets
-as the value of a subquery, so a look-up is two array accesses. A second table of fixed size holds the encoded form of frequent
-words; it only saves work: a word that is not in it is folded in place. Decoding joins the tokens' bytes.
+A text is cut into words by the tokenizer's pattern. A word's bytes are folded: of all neighbouring pairs the one with the
+lowest rank merges, until no pair has a rank. Ranks of pairs lie in a perfect hash table that every task gets as the value
+of a subquery, which the planner makes a literal, so a look-up is two array accesses. No word is folded twice without need:
+frequent words, a bounded number of them, are folded once and broadcast with their ids; of its other words a document
+folds the different ones. Cutting texts and putting ids in their words' places are Arrow steps around the folds: they
+look words up and copy ids, and merge nothing. Decoding concatenates the tokens' bytes.
+
+A fold copies its state at each merge: a word of n bytes takes time in proportion to n squared, and memory to n.
 """
 
 from __future__ import annotations
 
 import base64
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import scratch_path
+from ..functions.names import quoted
+from ..session import durable, scratch_path
 from .common import fraction_below, let
 
-#: Slots of the table of frequent words, and of how many documents (about) it takes the words.
-WORD_SLOTS, WORD_SAMPLE = 1 << 19, 40_000
+#: The table of frequent words: at most so many, of at most so many bytes, from about so many documents.
+FREQUENT_WORDS, FREQUENT_BYTES, WORD_SAMPLE = 1 << 19, 64, 40_000
+#: Counts above this are alike when the least count of a frequent word is sought.
+_MOST_COUNT = 1 << 12
+#: Documents are put together in steps of about so many words.
+STEP_WORDS = 1 << 19
 _NONE = -1
-_TABLES, _FREQUENT = "__rank_tables__", "__frequent_words__"
+_TABLES, _CODES, _RARE, _FOLDED = "__rank_tables__", "__codes__", "__rare__", "__folded__"
 #: Bits of an id or rank in the state of a fold; the highest such number stands for no rank.
 _BITS = 17
 _LAST = (1 << _BITS) - 1
@@ -152,69 +166,152 @@ def _merge(state: Column, lowest: Column, tables: Column, ranks: Ranks) -> Colum
         (lowest.bitwiseAND(F.lit((1 << 32) - 1)) + 1).cast("int"), lambda p: at(low, p)))
 
 
-def _words(text: Column, pattern: str) -> Column:
-    """Matches of the pattern; ``(?U)`` gives white space its Unicode meaning."""
-    return F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), 0)
+def _word_counts(pattern: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): how often each word occurs in a batch of texts, for words that the table may take."""
+    split = regex.compile(pattern).findall
+    for batch in batches:
+        counts = Counter()
+        for text in batch.column(0):
+            counts.update(split(text.as_py()))
+        words = [w for w in counts if len(w.encode()) <= FREQUENT_BYTES]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["word", "n"])
+
 
+def _frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, at most about ``most``: whole counts from the highest down, and of the count that
+    does not fit whole the words whose hash is low enough."""
+    capped = F.least("n", F.lit(_MOST_COUNT))
+    sizes = counted.groupBy(capped.alias("c")).agg(F.count(F.lit(1)).alias("words")).collect()  # at most _MOST_COUNT rows
+    held, least, share = 0, _MOST_COUNT + 1, 0.0
+    for row in sorted(sizes, key=lambda r: -r["c"]):
+        if held + row["words"] > most:
+            share = (most - held) / row["words"]
+            break
+        held, least = held + row["words"], row["c"]
+    return counted.where((capped >= least) | ((capped == least - 1) & fraction_below(F.col("word"), F.lit(share))))
 
-def _word_slot(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(WORD_SLOTS)).cast("int")
+
+@dataclass(frozen=True)
+class WordTable:
+    """Frequent words in order of their numbers, where each one's ids begin (and one more), and all ids."""
+
+    words: list[str]
+    starts: np.ndarray
+    ids: np.ndarray
+    key: str
+
+    def numbers(self) -> dict[str, int]:
+        """Numbers of words, built once in a Python process."""
+        if self.key not in _NUMBERS:
+            _NUMBERS.clear()
+            _NUMBERS[self.key] = {w: i for i, w in enumerate(self.words)}
+        return _NUMBERS[self.key]
+
+
+_NUMBERS: dict[str, dict[str, int]] = {}
+
+
+def _cut(table: WordTable, pattern: str, names: list[str], source: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add each text's words as codes, a frequent word's number or -1 - k for the k-th different other word, and those words."""
+    split, number = regex.compile(pattern).findall, table.numbers().get
+    for batch in batches:
+        codes, code_ends, rare, rare_ends = [], [0], [], [0]
+        for text in batch.column(source):
+            words = split(text.as_py() or "")
+            found = list(map(number, words))
+            if None in found:
+                own: dict[str, int] = {}
+                found = [-1 - own.setdefault(w, len(own)) if c is None else c for w, c in zip(words, found)]
+                rare += own
+            codes.append(np.array(found, np.int32))
+            code_ends.append(code_ends[-1] + len(found))
+            rare_ends.append(len(rare))
+        coded = pa.ListArray.from_arrays(pa.array(code_ends, pa.int32()), pa.array(np.concatenate(codes) if codes else [], pa.int32()))
+        others = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array(rare, pa.string()))
+        kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n in names]
+        yield pa.RecordBatch.from_arrays([*kept, coded, others], [*names, _CODES, _RARE])
+
+
+def _put_together(table: WordTable, pieces: list[bytes], names: list[str], coded: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace codes and folded words by the ids in order and the bytes they stand for."""
+    for batch in batches:
+        n, start = batch.num_columns, 0
+        while start < batch.num_rows:
+            ends = batch.column(n - 2).offsets.to_numpy()
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + STEP_WORDS, side="right")) - 1)
+            part = batch.slice(start, min(stop, batch.num_rows) - start)
+            start += part.num_rows
+            code_list, folded = part.column(n - 2), part.column(n - 1)
+            codes, words = code_list.flatten().to_numpy().astype(np.int64), folded.flatten()
+            counts = np.diff(code_list.offsets.to_numpy())
+            before = folded.offsets.to_numpy()[:-1] - folded.offsets.to_numpy()[0]
+            # One table: the frequent words' ids, and behind them those of this part's other words.
+            own_starts = words.offsets.to_numpy() - (words.offsets.to_numpy()[0] if len(words.offsets) else 0)
+            starts = np.concatenate([table.starts[:-1], len(table.ids) + own_starts])
+            ids = np.concatenate([table.ids, words.flatten().to_numpy().astype(np.int32)])
+            place = np.where(codes < 0, len(table.words) + np.repeat(before, counts) - 1 - codes, codes)
+            sizes = np.concatenate([np.diff(table.starts), np.diff(own_starts)])[place]
+            out_ends = np.append(0, np.cumsum(sizes))
+            out = ids[np.repeat(starts[place] - out_ends[:-1], sizes) + np.arange(out_ends[-1])]
+            bounds = out_ends[np.append(0, np.cumsum(counts))]
+            listed, decoded = out.tolist(), []
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                decoded.append(b"".join([pieces[i] for i in listed[low:high]]))
+            both = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out)),
+                                               pa.array(decoded, pa.binary())], ["ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(n - 2)], both], [*names, coded])
 
 
 class ByteBpe:
-    """Encoder and decoder of documents. The tables are columns of their own below the folds: subqueries may not stand
+    """Encoder and decoder of documents. The rank tables are a column of their own below the folds: subqueries may not stand
     inside lambda functions, and the optimizer puts the value in where it is used."""
 
     def __init__(self, spark: SparkSession, ranks_path: str, pattern: str) -> None:
         self.spark, self.pattern, self.ranks = spark, pattern, read_ranks(ranks_path)
         self._tables = rank_tables(spark, self.ranks)
-        self._frequent: Column | None = None
+        self.table = WordTable([], np.zeros(1, np.int64), np.zeros(0, np.int32), "")
+
+    def _folded(self, rows: DataFrame, word: str, ids: str) -> DataFrame:
+        """``rows`` with the ids of a column of words, or of a column of lists of words."""
+        one = isinstance(rows.schema[word].dataType, T.StringType)
+        fold = (lambda t: fold_word(F.col(word), t, self.ranks)) if one else (
+            lambda t: F.transform(F.col(word), lambda w: fold_word(w, t, self.ranks)))
+        return rows.withColumn(_TABLES, self._tables).withColumn(ids, let(F.col(_TABLES), fold)).drop(_TABLES)
 
     def learn_frequent_words(self, texts: DataFrame, sample: int = WORD_SAMPLE) -> None:
-        """Encode the most frequent word of each slot beforehand, from about ``sample`` rows of (key, text).
+        """Fold the most frequent words of about ``sample`` rows of (key, text) beforehand.
 
-        Ids never depend on this table: it has at most WORD_SLOTS words, and other words are folded where they stand.
+        Ids never depend on this table: it has at most FREQUENT_WORDS words, and documents fold their other words.
         """
-        total = texts.count()
-        chosen = texts.where(fraction_below(F.col("key"), F.lit(min(1.0, sample / max(total, 1)))))
-        counted = chosen.select(F.explode(_words(F.col("text"), self.pattern)).alias("word")).groupBy("word").count()
-        winners = (counted.where(F.col("count") > 1).groupBy(_word_slot(F.col("word")).alias("slot"))
-                   .agg(F.max_by("word", F.struct("count", "word")).alias("w")))
-        encoded = winners.withColumn("t", self._tables).select("slot", "w", let(
-            F.col("t"), lambda t: fold_word(F.col("w"), t, self.ranks)).alias("i"))
-        slots = self.spark.range(WORD_SLOTS).select(F.col("id").cast("int").alias("slot"))
-        # WORD_SLOTS rows become one array in order of their slots: a table of fixed size.
-        placed = slots.join(encoded, "slot", "left").agg(F.array_sort(F.collect_list(F.struct("slot", "w", "i"))).alias("words"))
-        self._frequent = _one_row(self.spark, placed.select(F.transform("words", lambda x: F.struct(
-            x["w"].alias("w"), x["i"].alias("i"))).alias("words")), "bpe-words")
-
-    def encode(self, docs: DataFrame, text: str, coded: str = "coded") -> DataFrame:
+        total, pattern = texts.count(), self.pattern
+        chosen = texts.where(fraction_below(F.col("key"), F.lit(min(1.0, sample / max(total, 1))))).select(F.coalesce("text", F.lit("")))
+        counted = durable(chosen.mapInArrow(lambda b: _word_counts(pattern, b), "word string, n long")
+                          .groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+        path = scratch_path(self.spark, "bpe-words")
+        self._folded(_frequent(counted, FREQUENT_WORDS), "word", "ids").select("word", "ids").write.parquet(path)
+        found = self.spark.read.parquet(path).toArrow().combine_chunks()  # at most FREQUENT_WORDS rows of bounded size
+        ids = found.column("ids").combine_chunks()
+        self.table = WordTable(found.column("word").to_pylist(), ids.offsets.to_numpy().astype(np.int64),
+                               ids.flatten().to_numpy().astype(np.int32), path)
+
+    def encode(self, docs: DataFrame, text: str, coded: str = "coded", keep_text: bool = True) -> DataFrame:
         """``docs`` with a struct of ``ids``, the token ids of a text without special tokens, and ``decoded``, the bytes
         they decode to. A NULL text is empty."""
-        def both(ids: Column, t: Column) -> Column:
-            return let(ids, lambda i: F.struct(i.alias("ids"), self._bytes(i, t).alias("decoded")))
-
-        def fold_all(t: Column) -> Column:
-            return both(F.flatten(F.transform(words, lambda w: fold_word(w, t, self.ranks))), t)
-
-        def look_up(t: Column, table: Column) -> Column:
-            return both(F.flatten(F.transform(words, lambda w: let(F.element_at(table, _word_slot(w) + 1), lambda known: F.when(
-                known["w"] == w, known["i"]).otherwise(fold_word(w, t, self.ranks))))), t)
-        words = _words(F.coalesce(F.col(text), F.lit("")), self.pattern)
-        if self._frequent is None:
-            return docs.withColumn(_TABLES, self._tables).withColumn(coded, let(F.col(_TABLES), fold_all)).drop(_TABLES)
-        return (docs.withColumns({_TABLES: self._tables, _FREQUENT: self._frequent})
-                .withColumn(coded, let(F.col(_TABLES), lambda t: let(F.col(_FREQUENT), lambda f: look_up(t, f["words"]))))
-                .drop(_TABLES, _FREQUENT))
-
-    @staticmethod
-    def _bytes(ids: Column, t: Column) -> Column:
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(t["pieces"], i + 1)), ""))
+        shared = self.spark.sparkContext.broadcast((self.table, self.ranks.pieces))
+        names, pattern = [c for c in docs.columns if c != coded and (keep_text or c != text)], self.pattern
+        source, kept = docs.columns.index(text), [docs.schema[c] for c in names]
+        schema = T.StructType([*kept, T.StructField(_CODES, T.ArrayType(T.IntegerType())), T.StructField(_RARE, T.ArrayType(T.StringType()))])
+        cut = docs.mapInArrow(lambda b: _cut(shared.value[0], pattern, names, source, b), schema)
+        folded = self._folded(cut, _RARE, _FOLDED).select(*[F.col(quoted(c)) for c in names], _CODES, _FOLDED)
+        both = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
+        return folded.mapInArrow(lambda b: _put_together(shared.value[0], shared.value[1], names, coded, b),
+                                 T.StructType([*kept, T.StructField(coded, both)]))
 
     def decode(self, docs: DataFrame, ids: str, decoded: str = "decoded") -> DataFrame:
         """``docs``, a stored table, with the bytes of its token ids, joined."""
-        return docs.withColumn(_TABLES, self._tables).withColumn(
-            decoded, let(F.col(_TABLES), lambda t: self._bytes(F.col(ids), t))).drop(_TABLES)
+        def joined(t: Column) -> Column:
+            return F.unhex(F.array_join(F.transform(F.col(ids), lambda i: F.element_at(t["pieces"], i + 1)), ""))
+        return docs.withColumn(_TABLES, self._tables).withColumn(decoded, let(F.col(_TABLES), joined)).drop(_TABLES)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
@@ -225,6 +322,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str
     table; other columns are not read.
     """
     coder = ByteBpe(docs.sparkSession, ranks_path, pattern)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     coder.learn_frequent_words(rows.select(F.col("doc_id").alias("key"), "text"), sample)
-    return coder.encode(rows, "text").select("doc_id", "coded.ids", "coded.decoded")
+    return coder.encode(rows, "text", keep_text=False).select("doc_id", "coded.ids", "coded.decoded")

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 
 import public_tokenizers
@@ -22,7 +23,8 @@ def exact():
 
 def test_query_against_the_library(spark, sf_dir, exact):
     df = QUERIES["op7_byte_bpe"](spark, sf_dir)
-    assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString()[-5000:])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"transform\(__rare__.*aggregate\(", plan)  # words are folded by higher-order functions
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     expected = set()
     for i, text in texts.items():
@@ -66,3 +68,19 @@ def test_every_pair_of_a_vocabulary_has_a_place_of_its_own(tmp_path):
     ranks = bpe.read_ranks(str(path))
     assert sorted(r for r in ranks.ranks if r != -1) == sorted(
         tokens.index(t) for t in tokens[256:] for i in range(1, len(t)) if t[:i] in tokens and t[i:] in tokens)
+
+
+def test_steps_of_few_words_and_long_runs(make_docs, exact, monkeypatch):
+    rng = random.Random(2)
+    texts = [*ODD, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)), *["rare" + str(i % 3) + " words " * (i % 5) for i in range(40)]]
+    docs = make_docs(list(enumerate(texts))).repartition(2)
+    monkeypatch.setattr(bpe, "STEP_WORDS", 7)
+    rows = bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {i: exact.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_the_most_frequent_words_are_taken(spark):
+    counted = spark.createDataFrame([(f"w{i}", 2 + i // 10) for i in range(200)] + [("often", 10 ** 6)], "word string, n long")
+    taken = {r["word"] for r in bpe._frequent(counted, 55).collect()}
+    assert "often" in taken and {f"w{i}" for i in range(150, 200)} <= taken and len(taken) <= 61
+    assert bpe._frequent(counted, 1000).count() == 201
