@@ -32,13 +32,15 @@ from .common import Kept
 SPACE = "▁"
 #: A worker keeps up to twice so many words' ids, none longer than this.
 KEPT_WORDS, KEPT_WORD_CHARS = 1 << 17, 48
-#: Tokens and links that are laid out at a time, and texts' bytes a slice; a longer document is aligned slice by slice.
+#: Texts' bytes a step (and a quarter as many ids) and links that are laid out at a time; long documents take several steps.
 STEP_BYTES, STEP_LINKS = 1 << 20, 1 << 21
 #: Corpus-wide counts of up to so many id pairs are broadcast; beyond, the join shuffles.
 BROADCAST_PAIRS = 1_000_000
 #: White space, and characters that some Unicode versions count as such.
 _BLANK = r"[\s\x1c-\x1f\u0085᠎​-‍⁠﻿]"
 _WORDS = re.compile(rf" ++[^ ]*+(?:(?<={_BLANK}) ++[^ ]*+)*+")
+_VISIBLE = re.compile(" [!-~]+")
+_DIFFERENT = np.zeros(2, np.int32).tobytes()
 _ALIGNED = ("doc_id long, n_a long, n_b long, n_groups long, n_overlaps long, n_links long, groups string, "
             "pairs array<long>, times array<long>")
 
@@ -95,38 +97,53 @@ class Sides:
         #: What an id looks like in the text of groups, by what follows it: another of its side, the other side, the next group.
         self.a_text, self.b_text = (np.array([b"%d%s" % (i, mark) for mark in marks for i in range(n)], object)
                                     for n, marks in ((size, (b",", b"|")), (len(self.b_bytes), (b",", b";"))))
+        self.fast = self._fast_encoder(json.loads(files.table)["model"])
         self.kept = Kept(KEPT_WORDS)
 
-    def encode(self, words: list[str]) -> list[tuple]:
-        """(ids of A, ids of B, whether both give the word's bytes) of words that begin with a space."""
+    def _fast_encoder(self, model: dict):
+        """An encoder of words of visible ASCII by the same vocabulary, where its ids are the order of its merges: a quicker
+        library gives the same ids there, as the split into words does not depend on Unicode tables."""
+        made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        if made != sorted(made) or len(set(made)) < len(made):
+            return None
+        import public_tokenizers
+        import tiktoken
+        ranks = {raw: i for i, raw in enumerate(self.a_bytes) if raw}
+        return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Of words that begin with a space: how many ids A and B have, then both sides' ids, as 32-bit integers. Where a
+        side's bytes are not the word's, both numbers are 0."""
         if not words:
             return []
-        a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
-        b = [ids if word != " " else [self.blank] for word, ids in zip(words, self.b.encode([w[1:] for w in words], num_threads=1))]
+        plain = [bool(_VISIBLE.fullmatch(w)) and self.fast is not None for w in words]
+        others = iter(self.a.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False))
         out = []
-        for word, x, y in zip(words, a, b):
+        for word, is_plain, y in zip(words, plain, self.b.encode([w[1:] for w in words], num_threads=1)):
+            x, y = self.fast(word) if is_plain else next(others).ids, y if word != " " else [self.blank]
             raw = word.encode()
-            same = b"".join([self.a_bytes[i] for i in x]) == raw and b"".join([self.b_bytes[i] for i in y]) == raw
-            out.append((array("i", x).tobytes(), array("i", y).tobytes(), same))
+            if b"".join([self.a_bytes[i] for i in x]) == raw and b"".join([self.b_bytes[i] for i in y]) == raw:
+                out.append(array("i", [len(x), len(y), *x, *y]).tobytes())
+            else:
+                out.append(_DIFFERENT)
         return out
 
-    def ids_of(self, texts: list[str]) -> list[list[tuple] | None]:
-        """Per text its words' ids, or None where a side's bytes are not those of the text behind a space."""
-        kept, missing, found = self.kept, {}, []
+    def ids_of(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """The words of all texts as ``encode`` gives them, and how many words each text has."""
+        kept, missing, found, counts = self.kept, {}, [], []
         for text in texts:
             words = _WORDS.findall(" " + text) if text and SPACE not in text else []
-            known = [kept.young.get(w) or kept.from_old(w) for w in words]
-            for word, ids in zip(words, known):
-                if ids is None:
+            young = kept.young
+            for word in words:
+                ids = young.get(word)
+                if ids is None and (ids := kept.from_old(word)) is None:
+                    ids = word
                     missing.setdefault(word)
-            found.append((words, known))
+                found.append(ids)
+            counts.append(len(words))
         for word, ids in zip(missing, self.encode(list(missing))):
             missing[word] = kept.put(word, ids) if len(word) <= KEPT_WORD_CHARS else ids
-        out = []
-        for words, known in found:
-            ids = [missing[w] if k is None else k for w, k in zip(words, known)]
-            out.append(ids if ids and all(same for _, _, same in ids) else None)
-        return out
+        return [missing[x] if type(x) is str else x for x in found], np.array(counts)
 
 
 _SIDES: dict[str, Sides] = {}
@@ -143,15 +160,23 @@ def overlaps(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
     """Places (token of A, token of B) of all overlapping tokens, in order. Both tables have doc, at and end, sorted by at."""
     a = left.assign(a=np.arange(len(left)))[["doc", "at", "a"]]
     b = right.assign(b=np.arange(len(right)))[["doc", "at", "b"]]
-    first = pd.merge_asof(a, b, on="at", by="doc")[["a", "b"]].to_numpy()
-    second = pd.merge_asof(b, a, on="at", by="doc")[["a", "b"]].to_numpy()
-    keys = np.unique(np.concatenate([first, second]) @ np.array([len(right), 1]))
+    both = [pd.merge_asof(x, y, on="at", by="doc") for x, y in ((a, b), (b, a))]
+    keys = np.concatenate([m["a"].to_numpy() * len(right) + m["b"].to_numpy() for m in both])
+    keys.sort(kind="stable")  # two runs that are in order already
+    keys = keys[np.append(True, keys[1:] != keys[:-1])[:len(keys)]]
     return np.stack([keys // max(len(right), 1), keys % max(len(right), 1)], axis=1)
 
 
-def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    unique, inverse = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(inverse, weights=times, minlength=len(unique)).astype(np.int64)
+def _summed(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order and the sum of each one's times, 1 where none are given."""
+    if times is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, times = keys[order], times[order]
+    firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    sums = np.diff(np.append(firsts, len(keys))) if times is None else np.add.reduceat(times, firsts) if len(keys) else times
+    return keys[firsts], sums.astype(np.int64)
 
 
 def _linked(doc: np.ndarray, a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +204,7 @@ def _linked(doc: np.ndarray, a: np.ndarray, a_starts: np.ndarray, b: np.ndarray,
         n = product[groups]
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         g = np.repeat(groups, n)
-        k, t = _summed((doc[g] << 32) + a[a_starts[g] + within // nb[g]] * width + b[b_starts[g] + within % nb[g]], np.ones(len(g)))
+        k, t = _summed((doc[g] << 32) + a[a_starts[g] + within // nb[g]] * width + b[b_starts[g] + within % nb[g]])
         keys.append(k)
         times.append(t)
     if not keys:
@@ -187,10 +212,11 @@ def _linked(doc: np.ndarray, a: np.ndarray, a_starts: np.ndarray, b: np.ndarray,
     return _summed(np.concatenate(keys), np.concatenate(times))
 
 
-def align_ids(sides: Sides, slices: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
-    """(groups, overlaps, text of groups, pairs, times) of slices, each the ids of A and B of the same bytes."""
-    n_a, n_b = (np.array([len(s[k]) for s in slices]) for k in (0, 1))
-    a, b = (np.concatenate([s[k] for s in slices]).astype(np.int64) for k in (0, 1))
+def align_ids(sides: Sides, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[tuple]:
+    """(groups, overlaps, text of groups, pairs, times) of slices that lie one after the other in ``a`` and ``b``; slice i has
+    n_a[i] and n_b[i] ids of the same bytes."""
+    slices = range(len(n_a))
+    a, b = a.astype(np.int64), b.astype(np.int64)
     doc_a, doc_b = np.repeat(np.arange(len(slices)), n_a), np.repeat(np.arange(len(slices)), n_b)
     end_a, end_b = np.cumsum(sides.a_length[a]), np.cumsum(sides.b_length[b])
     left = pd.DataFrame({"doc": doc_a, "at": end_a - sides.a_length[a], "end": end_a})
@@ -216,33 +242,33 @@ def align_ids(sides: Sides, slices: list[tuple[np.ndarray, np.ndarray]]) -> list
              keys[key_bounds[i]:key_bounds[i + 1]] & 0xFFFFFFFF, times[key_bounds[i]:key_bounds[i + 1]]) for i in range(len(slices))]
 
 
-def _slices(words: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A document's ids in slices that end with a word, so that groups are whole."""
-    start = held = 0
-    for at, (a, b, _) in enumerate(words):
-        held += len(a) + len(b)
-        if held >= STEP_BYTES or at == len(words) - 1:
-            part = words[start:at + 1]
-            yield tuple(np.frombuffer(b"".join([w[k] for w in part]), np.int32) for k in (0, 1))
-            start, held = at + 1, 0
-
-
 def _aligned_texts(sides: Sides, texts: list[str]) -> list[tuple]:
-    """Rows (n_a, n_b, n_groups, n_overlaps, n_links, groups, pairs, times), one for each text."""
-    ids = sides.ids_of(texts)
-    slices, owner = [], []
-    for at, words in enumerate(ids):
-        for one in _slices(words or []):
-            slices.append(one)
-            owner.append(at)
+    """Rows (n_a, n_b, n_groups, n_overlaps, n_links, groups, pairs, times), one for each text.
+
+    Tokens are aligned in steps of bounded size that end with a word: groups are whole, and what steps find adds up.
+    """
+    words, counts = sides.ids_of(texts)
     found: list[list] = [[] for _ in texts]
-    start = held = 0
-    for at, (a, b) in enumerate(slices):
-        held += len(a) + len(b)
-        if held * 4 >= STEP_BYTES or at == len(slices) - 1:
-            for o, s, result in zip(owner[start:at + 1], slices[start:at + 1], align_ids(sides, slices[start:at + 1])):
-                found[o].append((len(s[0]), len(s[1]), *result))
-            start, held = at + 1, 0
+    flat = np.frombuffer(b"".join(words), np.int32)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) // 4
+    heads = np.cumsum(lengths) - lengths
+    n_a, n_b, owner = flat[heads].astype(np.int64), flat[heads + 1].astype(np.int64), np.repeat(np.arange(len(texts)), counts)
+    whole = np.bincount(owner, weights=n_a == 0, minlength=len(texts)) == 0  # both sides' bytes are those of the text
+    used = whole[owner]
+    owner_used, steps = owner[used], np.cumsum(lengths[used]) // (STEP_BYTES // 4)
+    side = np.repeat(np.tile([2, 0, 1], len(words)), np.stack([np.full(len(words), 2), n_a, n_b], axis=1).ravel())
+    side[np.repeat(~used, lengths)] = 2
+    ids_a, ids_b = flat[side == 0], flat[side == 1]
+    # A slice is one text's words in one step.
+    firsts = np.flatnonzero(np.append(True, (owner_used[1:] != owner_used[:-1]) | (steps[1:] != steps[:-1]))[:len(steps)])
+    if len(firsts):
+        slice_a, slice_b = np.add.reduceat(n_a[used], firsts), np.add.reduceat(n_b[used], firsts)
+        ends_a, ends_b = np.append(0, np.cumsum(slice_a)), np.append(0, np.cumsum(slice_b))
+        bounds = np.flatnonzero(np.append(np.append(True, steps[firsts][1:] != steps[firsts][:-1]), True))
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            results = align_ids(sides, ids_a[ends_a[low]:ends_a[high]], ids_b[ends_b[low]:ends_b[high]], slice_a[low:high], slice_b[low:high])
+            for k, result in enumerate(results, low):
+                found[owner_used[firsts[k]]].append((int(slice_a[k]), int(slice_b[k]), *result))
     rows = []
     for parts in found:
         if not parts:
