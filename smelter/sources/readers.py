@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.names import CORRUPT, ROW_ID, SOURCE_FILE, col, quoted
 from ..functions.text import flatten_nested, strip
 from .discover import reader_kind
+from .splits import ArrayElements, QuotedLines, records
 from .workbook import read_workbook
 
 _POSITION_BITS = 33
@@ -78,8 +79,11 @@ def read_text_table(spark: SparkSession, path: str, default_delimiter: str = ","
                     delimiter: str | None = None, multiline: bool | None = None) -> DataFrame:
     """CSV or TSV with a header row. Values stay text; over-long rows land in ``_corrupt_record`` too.
 
+    Every file's first row that is not blank is its header, and rows are read by their own file's header: columns of
+    files with other headers meet by name. Blank rows are skipped, rows equal to the header further down are data.
+
     ``multiline=None`` looks for quoted line breaks first (one distributed pass that stops at the first
-    hit). Pass ``False`` when there are none: the file then splits across tasks without that pass.
+    hit). Pass ``False`` when there are none: the pass is saved. Files split across tasks in either case.
     """
     head = _head(spark, path)
     if not head.strip():
@@ -88,40 +92,44 @@ def read_text_table(spark: SparkSession, path: str, default_delimiter: str = ","
     if multiline is None:
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
         multiline = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-    reader = (spark.read.option("header", True).option("sep", separator).option("quote", '"').option("escape", '"')
-              .option("multiLine", multiline).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
-    headers = _headers(spark, path)
-    if headers.select("header").distinct().limit(2).count() > 1:
-        return _read_by_header(spark, path, headers, separator, multiline)
-    names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
-    return with_row_order(reader.schema(schema).csv(path))
-
-
-def _headers(spark: SparkSession, path: str) -> DataFrame:
-    """(_source_file, header): the first line of each file."""
-    first = with_row_order(spark.read.text(path).where(F.col("_metadata.file_block_start") == 0))
-    return first.groupBy(SOURCE_FILE).agg(F.min_by("value", ROW_ID).alias("header"))
-
-
-def _read_by_header(spark: SparkSession, path: str, headers: DataFrame, separator: str, multiline: bool) -> DataFrame:
-    """Files of one folder whose headers differ: each row is read by its own file's header, columns meet by name."""
     if multiline:
-        raise SourceError("files with different headers and line breaks inside quotes: land them one by one")
-    lines = with_row_order(spark.read.text(path)).join(headers, SOURCE_FILE).where(F.col("value") != F.col("header"))
-    options = {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+        rows = records(with_row_order(spark.read.option("lineSep", "\n").text(path)), QuotedLines(separator))
+        rows = rows.withColumn("record", F.regexp_replace("record", "\r$", ""))
+    else:
+        rows = with_row_order(spark.read.text(path)).withColumnRenamed("value", "record")
+    rows = rows.where(F.trim("record") != "")
+    headers = rows.where(F.shiftright(F.col(ROW_ID), _POSITION_BITS) == 0).groupBy(SOURCE_FILE).agg(
+        F.min_by("record", ROW_ID).alias("header"), F.min(ROW_ID).alias("header_row"))
+    different = [r["header"] for r in headers.select("header").distinct().orderBy("header").toLocalIterator()]
+    if len(different) == 1 and not multiline:
+        reader = (spark.read.option("header", True).option("sep", separator).option("quote", '"').option("escape", '"')
+                  .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in reader.csv(path).columns] + [T.StructField(CORRUPT, T.StringType())])
+        return with_row_order(reader.schema(schema).csv(path))
+    return _read_by_header(rows, headers, different, separator)
+
+
+def _read_by_header(rows: DataFrame, headers: DataFrame, different: list[str], separator: str) -> DataFrame:
+    """Each row is read by its own file's header; columns meet by name."""
+    data = rows.join(headers, SOURCE_FILE).where(F.col(ROW_ID) > F.col("header_row"))
+    options = {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true"}
     groups = []
-    for header in [r["header"] for r in headers.select("header").distinct().orderBy("header").toLocalIterator()]:
-        names = next(csv.reader([header.removeprefix("\ufeff")], delimiter=separator))
+    for header in different:
+        names = _column_names(next(csv.reader([header.removeprefix("\ufeff")], delimiter=separator)))
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
-        groups.append(lines.where(F.col("header") == header)
-                      .select(F.from_csv("value", _ddl(schema), options)
-                              .alias("r"), SOURCE_FILE, ROW_ID).select("r.*", SOURCE_FILE, ROW_ID))
+        groups.append(data.where(F.col("header") == header).select(F.from_csv("record", _ddl(schema), options).alias("r"), SOURCE_FILE, ROW_ID)
+                      .select("r.*", SOURCE_FILE, ROW_ID))
     merged = union_ragged(groups)
     last = [CORRUPT, SOURCE_FILE, ROW_ID]
     return merged.select(*[F.col(quoted(c)) for c in merged.columns if c not in last], *last)
 
 
+def _column_names(header: list[str]) -> list[str]:
+    """Names as Spark's CSV source gives them: empty ones and repeated ones (whatever their case) get their place."""
+    lowered = [h.lower() for h in header]
+    return [f"_c{i}" if not h else f"{h}{i}" if lowered.count(h.lower()) > 1 else h for i, h in enumerate(header)]
+
+
 def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"{quoted(f.name)} string" for f in schema.fields)
 
@@ -167,59 +175,84 @@ def _first_seen_order(records: DataFrame, struct: T.StructType) -> T.StructType:
     return arrange(struct, "$")
 
 
-def _from_records(records: DataFrame, inferred: T.StructType, unquoted: bool = False) -> DataFrame:
+def _from_records(texts: DataFrame, inferred: T.StructType, unquoted: bool = False) -> DataFrame:
     """Parse JSON record texts with a text schema and flatten them; keep damaged records for inspection."""
     fields = [f for f in inferred.fields if f.name != CORRUPT]
     if not fields:
         # Bare scalars. Elements of a document are already unquoted, lines are not.
         value = F.col("record") if unquoted else F.get(
             F.from_json(F.concat(F.lit("["), "record", F.lit("]")), "array<string>"), F.lit(0))
-        return records.select(value.alias("value"), SOURCE_FILE, ROW_ID)
-    ordered = _first_seen_order(records, T.StructType(fields))
+        return texts.select(value.alias("value"), SOURCE_FILE, ROW_ID)
+    ordered = _first_seen_order(texts, T.StructType(fields))
     schema = _as_text_schema(ordered).add(CORRUPT, T.StringType())
-    parsed = records.select(
+    parsed = texts.select(
         F.from_json("record", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"),
         SOURCE_FILE, ROW_ID)
     return flatten_nested(parsed.select("r.*", SOURCE_FILE, ROW_ID))
 
 
-def _infer(spark: SparkSession, path: str, multiline: bool) -> T.StructType:
-    return (spark.read.option("multiLine", multiline).option("columnNameOfCorruptRecord", CORRUPT)
-            .json(path).schema)
+def _infer(texts: DataFrame, column: str) -> T.StructType:
+    """The schema of a column of JSON texts."""
+    spark = texts.sparkSession
+    strings = getattr(texts.where(F.col(column).isNotNull()).select(column)._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    reader = spark.read.option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", True)
+    return DataFrame(reader._jreader.json(strings), spark).schema
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """One JSON value per line; blank lines are skipped; nested objects become dotted columns."""
-    records = (with_row_order(spark.read.text(path)).withColumnRenamed("value", "record")
-               .where(strip("record") != ""))
-    return _from_records(records, _infer(spark, path, multiline=False))
+    lines = (with_row_order(spark.read.text(path)).withColumnRenamed("value", "record")
+             .where(strip("record") != ""))
+    return _from_records(lines, _infer(lines, "record"))
 
 
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document per file: the rows are the root array, or the root object's first list of objects,
-    or the root object itself."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias(SOURCE_FILE))
-    root = _head(spark, path).lstrip()[:1]
-    inferred = _infer(spark, path, multiline=True)
-    if root == "[":
-        elements = F.from_json("value", "array<string>")
-    elif root == "{":
-        lists = {f.name: f.dataType.elementType for f in inferred.fields
-                 if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)}
-        order = list(lists)
-        if len(lists) > 1:
-            keys = whole.select(F.posexplode(F.json_object_keys("value")).alias("pos", "k")).groupBy("k").min("pos")
-            position = {r["k"]: r["min(pos)"] for r in keys.where(F.col("k").isin(*lists)).collect()}
-            order = sorted(lists, key=lambda k: position.get(k, len(position)))
-        if order:
-            inferred = lists[order[0]]
-            elements = F.from_json(F.get_json_object("value", f"$['{order[0]}']"), "array<string>")
-        else:
-            elements = F.array("value")
-    else:
+    or the root object itself. Every file's own root decides; columns meet by name.
+
+    A root array is read by many tasks, element by element; a root object is one text in one task.
+    """
+    pieces = with_row_order(spark.read.option("lineSep", ",").text(path))
+    start = F.substring(F.ltrim(F.regexp_replace("value", "^\ufeff|[\r\n\t]", " ")), 1, 1)
+    roots = (pieces.where(F.shiftright(F.col(ROW_ID), _POSITION_BITS) == 0).groupBy(SOURCE_FILE)
+             .agg(F.min_by(start, ROW_ID).alias("root")))
+    kinds = {r["root"] for r in roots.select("root").distinct().collect()}
+    if not kinds or kinds - {"[", "{"}:
         raise SourceError("the JSON root must be an array or an object")
-    records = whole.select(SOURCE_FILE, F.posexplode(elements).alias(ROW_ID, "record"))
-    return _from_records(records.withColumn(ROW_ID, F.col(ROW_ID).cast("long")), inferred, unquoted=True)
+
+    def of_kind(rows: DataFrame, root: str) -> DataFrame:
+        return rows if len(kinds) == 1 else rows.join(roots.where(F.col("root") == root), SOURCE_FILE, "left_semi")
+    parts = []
+    if "[" in kinds:
+        elements = records(of_kind(pieces, "["), ArrayElements()).where(strip("record") != "")
+        parts.append(_from_records(elements, _infer(elements, "record")))
+    if "{" in kinds:
+        whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias(SOURCE_FILE))
+        parts.append(_from_objects(of_kind(whole, "{")))
+    merged = union_ragged(parts)
+    last = [c for c in (CORRUPT, SOURCE_FILE, ROW_ID) if c in merged.columns]
+    return merged.select(*[F.col(quoted(c)) for c in merged.columns if c not in last], *last)
+
+
+def _from_objects(whole: DataFrame) -> DataFrame:
+    """Rows of documents whose root is an object: its first list of objects if there is one, else the object."""
+    inferred = _infer(whole, "value")
+    lists = {f.name: f.dataType.elementType for f in inferred.fields
+             if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)}
+    order = list(lists)
+    if len(lists) > 1:
+        keys = whole.select(F.posexplode(F.json_object_keys("value")).alias("pos", "k")).groupBy("k").min("pos")
+        position = {r["k"]: r["min(pos)"] for r in keys.where(F.col("k").isin(*lists)).collect()}
+        order = sorted(lists, key=lambda k: position.get(k, len(position)))
+    if order:
+        inferred = lists[order[0]]
+        # A file without that list is a record of its own: no file is lost.
+        found = F.from_json(F.get_json_object("value", f"$['{order[0]}']"), "array<string>")
+        elements = F.coalesce(found, F.array("value"))
+    else:
+        elements = F.array("value")
+    rows = whole.select(SOURCE_FILE, F.posexplode(elements).alias(ROW_ID, "record"))
+    return _from_records(rows.withColumn(ROW_ID, F.col(ROW_ID).cast("long")), inferred, unquoted=True)
 
 
 # --- XML ---------------------------------------------------------------------

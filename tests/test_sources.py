@@ -193,3 +193,90 @@ def test_row_ids_of_a_compressed_file_in_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Scans in splits of a few bytes."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def quoted_rows(n):
+    texts = ["plain", "two\nlines", 'say ""hi""', "a, b", "", '""', "\n\n", "x" * 300, 'three\n""more""\nlines,\n', "end"]
+    return "".join(f'{i},"{texts[i * 7 % 10]}",{["t", "", "5 inch"][i % 3]}\n' for i in range(n))
+
+
+def test_quoted_line_breaks_over_many_splits_equal_one_task(spark, tmp_path, small_splits):
+    path = put(tmp_path, "many.csv", "id,text,note\n" + quoted_rows(400))
+    df = read_raw(spark, path)
+    want = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    got = df.orderBy("_row_id").select("id", "text", "note").collect()
+    assert [int(r["id"]) for r in got] == list(range(400))
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert spark.read.text(path).rdd.getNumPartitions() > 20
+    ids = [r["_row_id"] for r in df.select("_row_id").orderBy("_row_id").collect()]
+    assert len(set(ids)) == 400 and ids == [r["_row_id"] for r in read_raw(spark, path).select("_row_id").orderBy("_row_id").collect()]
+
+
+def test_quotes_inside_plain_fields_open_nothing(spark, tmp_path, small_splits):
+    body = "".join(f'{i},5" pipe,"a\nb"\n' if i % 3 else f'{i},x"y"z,"c"\n' for i in range(120))
+    rows = values(read_raw(spark, put(tmp_path, "inch.csv", "id,size,text\n" + body)), "id", "size", "text")
+    assert rows == [(str(i), '5" pipe' if i % 3 else 'x"y"z', "a\nb" if i % 3 else "c") for i in range(120)]
+
+
+def test_crlf_files_with_quoted_line_breaks(spark, tmp_path):
+    rows = values(read_raw(spark, put(tmp_path, "crlf.csv", 'a,b\r\n1,"x\r\ny"\r\n\r\n2,z\r\n').replace("\n", "\n")), "a", "b")
+    assert rows == [("1", "x\r\ny"), ("2", "z")]
+
+
+def test_differing_headers_with_quoted_line_breaks_and_rows_like_the_header(spark, tmp_path, small_splits):
+    (tmp_path / "a.csv").write_text('id,name\n1,"x\ny"\nid,name\n2,z\n')
+    (tmp_path / "b.csv").write_text("\nname,id,extra\nw,3,more\nname,id,extra\n")
+    rows = {(r["id"], r["name"], r["extra"]) for r in read_text_table(spark, str(tmp_path)).collect()}
+    assert rows == {("1", "x\ny", None), ("id", "name", None), ("2", "z", None), ("3", "w", "more"), ("id", "name", "extra")}
+    (tmp_path / "a.csv").write_text("id,name\nid,name\n2,z\n")
+    rows = sorted((r["id"], r["name"], r["extra"]) for r in read_text_table(spark, str(tmp_path)).select("id", "name", F.coalesce("extra", F.lit("")).alias("extra")).collect())
+    assert rows == [("2", "z", ""), ("3", "w", "more"), ("id", "name", ""), ("id", "name", "extra")]
+    (tmp_path / "b.csv").unlink()
+    assert sorted(r["id"] for r in read_text_table(spark, str(tmp_path)).collect()) == ["2", "id"]
+
+
+def test_json_arrays_over_many_splits(spark, tmp_path, small_splits):
+    rows = [{"id": i, "text": ["a, b", 'q"[{', "back\\slash\\", "]}", "x" * 500, ""][i % 6], "list": [i, [1, {"k": "]"}]], "o": {"p": i / 2}}
+            for i in range(300)]
+    for name, indent in (("flat.json", None), ("deep.json", 3)):
+        df = read_raw(spark, put(tmp_path, name, "﻿" * (indent is None) + json.dumps(rows, indent=indent)))
+        got = values(df, "id", "text", "o.p")
+        assert [int(g[0]) for g in got] == list(range(300))
+        assert [g[1] for g in got] == [r["text"] for r in rows] and [float(g[2]) for g in got] == [r["o"]["p"] for r in rows]
+    scalars = values(read_raw(spark, put(tmp_path, "scalars.json", json.dumps([f"v,{i}" for i in range(200)]))), "value")
+    assert scalars == [(f"v,{i}",) for i in range(200)]
+    assert read_raw(spark, put(tmp_path, "nested.json", "[[1, 2], [3], []]")).count() == 3
+
+
+def test_json_roots_of_a_folder_differ(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    put(folder, "a.json", '[{"id": 1, "x": "p"}, {"id": 2}]')
+    put(folder, "b.json", '{"rows": [{"id": 3, "y": "q"}], "note": "n"}')
+    put(folder, "c.json", '  {"id": 4}')
+    put(folder, "d.json", "[ ]")
+    from smelter.sources.readers import read_json_document
+    df = read_json_document(spark, str(folder))
+    assert sorted((r["id"], r["x"], r["y"]) for r in df.na.fill("").collect()) == [("1", "p", ""), ("2", "", ""), ("3", "", "q"), ("4", "", "")]
+    put(folder, "e.json", "42")
+    with pytest.raises(SourceError):
+        read_json_document(spark, str(folder))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_states_meet_pieces_by_either_join(spark, tmp_path, small_splits, monkeypatch, few):
+    from smelter.sources import splits
+    monkeypatch.setattr(splits, "BROADCAST_SPLITS", 10 ** 6 if few else 0)
+    path = put(tmp_path, "j.csv", "id,text,note\n" + quoted_rows(150))
+    assert [int(v[0]) for v in values(read_raw(spark, path), "id")] == list(range(150))
