@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.names import col, quoted
 from ..functions.numbers import round_metric
 from ..plans.metric import Metric, aggregation_class, metric_column, metric_definition_text
-from ..session import small_frame
+from ..session import durable, small_frame
 
 # Words that ask for a breakdown, a ranking, or a ranking from below.
 BREAKDOWN_WORDS = ("by ", "per ", "across ", "for each ", "grouped by ", "breakdown", "break down")
@@ -100,7 +100,7 @@ def _named_values(texts: DataFrame, values: DataFrame, whole_words: bool) -> Dat
     have any number of values.
     """
     spelled = values.select("dim", "value", (F.trim(_phrase(F.col("value"))) if whole_words else F.lower("value")).alias("_gram"))
-    spelled = spelled.where("_gram <> ''")
+    spelled = durable(spelled.where("_gram <> ''"))  # read twice: the value table is worked out once
     size = F.size(F.split("_gram", " ")) if whole_words else F.char_length("_gram")
     longest = spelled.agg(F.coalesce(F.max(size), F.lit(1))).first()[0]
     grams = texts.select("_text", F.explode(_grams(F.col("_text"), F.lit(longest), whole_words)).alias("_gram"))

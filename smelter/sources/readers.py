@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 from ..functions.names import CORRUPT, ROW_ID, SOURCE_FILE, col, quoted
 from ..functions.text import flatten_nested, strip
+from ..session import durable
 from .discover import reader_kind
-from .splits import ArrayElements, QuotedLines, records
+from .splits import ArrayElements, QuotedLines, records, tag_outline
 from .workbook import read_workbook
 
 _POSITION_BITS = 33
@@ -257,62 +258,25 @@ def _from_objects(whole: DataFrame) -> DataFrame:
 
 # --- XML ---------------------------------------------------------------------
 
-def _xml_outline(batches):
-    """Per file: how often each child tag of the root occurs, and the columns its records name, in order."""
-    import io
-    import xml.etree.ElementTree as ET
-
-    import pandas as pd
-
-    for batch in batches:
-        for content in batch["content"]:
-            outline: dict[str, dict] = {}
-            depth = 0
-            root_tag = None
-            for event, elem in ET.iterparse(io.BytesIO(content), events=("start", "end")):
-                if event == "start":
-                    depth += 1
-                    root_tag = root_tag or elem.tag
-                    continue
-                depth -= 1
-                if depth == 1:
-                    entry = outline.setdefault(elem.tag, {"n": 0, "columns": {}})
-                    entry["n"] += 1
-                    for name in elem.attrib:
-                        entry["columns"].setdefault(name)
-                    for child in elem:
-                        if len(child):
-                            for name in child.attrib:
-                                entry["columns"].setdefault(f"{child.tag}.{name}")
-                        entry["columns"].setdefault(child.tag)
-                    elem.clear()
-            yield pd.DataFrame({
-                "root": root_tag, "tag": list(outline) or [root_tag],
-                "place": list(range(len(outline))) or [0],
-                "n": [e["n"] for e in outline.values()] or [0],
-                "columns": [list(e["columns"]) for e in outline.values()] or [[]]})
-
-
 def read_xml(spark: SparkSession, path: str, record_tag: str | None = None) -> DataFrame:
     """XML records: attributes and children become columns; a child that has children of its own gives its
     attributes as ``child.attribute`` and its own text.
 
-    Without ``record_tag`` the most frequent child tag of the root is the record; finding it parses each file
-    once in a task of its own. With it, Spark's splittable XML scan starts at once.
+    Without ``record_tag`` the most frequent child tag of the root is the record; many tasks find it, each in its splits.
+    With it, Spark's splittable XML scan starts at once.
     """
     columns: list[str] = []
     if record_tag is None:
-        try:
-            outline = (spark.read.format("binaryFile").load(path).select("content")
-                       .mapInPandas(_xml_outline, "root string, tag string, place long, n long, columns array<string>")
-                       .groupBy("tag").agg(F.sum("n").alias("n"), F.min("place").alias("place"),
-                                           F.first("columns").alias("columns"))
-                       .orderBy(F.desc("n"), "place").limit(1).collect())
-        except Exception as error:  # the parser's message arrives inside a Spark task failure
-            raise SourceError(f"not well-formed XML: {error}") from error
-        if not outline:
-            raise SourceError("no XML file")
-        record_tag, columns = outline[0]["tag"], outline[0]["columns"]
+        outline, ends = tag_outline(with_row_order(spark.read.option("lineSep", ">").text(path)))
+        broken = ends.where("depth <> 0 or deepest = 0 and least < 0").orderBy(SOURCE_FILE).limit(1).collect()
+        if broken:
+            raise SourceError(f"not well-formed XML: {broken[0][SOURCE_FILE]}")
+        outline = durable(outline)  # one row a tag and column
+        tags = outline.where("column is null").orderBy(F.desc("n"), "place").limit(1).collect()
+        if not tags:
+            raise SourceError("no records below the root of an XML file")
+        record_tag = tags[0]["tag"]
+        columns = [r["column"] for r in outline.where((F.col("tag") == record_tag) & F.col("column").isNotNull()).orderBy("place").collect()]
     raw = (spark.read.format("xml").option("rowTag", record_tag).option("attributePrefix", "@")
            .option("valueTag", "#text").option("inferSchema", False).option("ignoreNamespace", True).load(path))
     found: dict[str, F.Column] = {}

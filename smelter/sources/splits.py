@@ -94,6 +94,85 @@ class ArrayElements:
         return piece[:piece.rindex("]")] if depth <= 0 and not open_ and "]" in piece else piece
 
 
+class XmlTags:
+    """What stands between the ``>`` of an XML text: a piece ends with at most one tag, which may go a level down or up.
+    Comments and CDATA sections may hold any ``>``; a ``>`` inside an attribute's value is not provided for."""
+
+    def step(self, open_: bool, piece: str) -> tuple[bool, int]:
+        if open_:
+            return not piece.endswith(("--", "]]")), 0
+        tag = self.tag(piece)
+        if tag.startswith("!--"):
+            return not (tag.endswith("--") and len(tag) > 4), 0
+        if tag.startswith("![CDATA["):
+            return not tag.endswith("]]"), 0
+        if tag[:1] in ("", "!", "?"):
+            return False, 0
+        return False, -1 if tag.startswith("/") else 0 if tag.endswith("/") else 1
+
+    @staticmethod
+    def tag(piece: str) -> str:
+        """What the piece has behind its ``<``: of a piece that ends a text with ``<`` signs in a comment, the first."""
+        return piece[piece.find("<") + 1:] if "<" in piece else ""
+
+
+_NAME = re.compile(r"[^\s/]+")
+_ATTRIBUTE = re.compile(r"""([^\s=/]+)\s*=\s*(?:"[^"]*"|'[^']*')""")
+
+
+def _tag_outline(scanner: XmlTags, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tag, column, n, place) of each split: how often tags stand below the root (column NULL), and where the columns of
+    their records are first named: attributes, children's attributes as ``child.attribute``, children."""
+    split_of, record = None, None
+    found: dict[tuple, list] = {}
+
+    def note(tag, column, place, n=0):
+        entry = found.setdefault((tag, column), [0, place])
+        entry[0] += n
+
+    for batch in batches:
+        pieces, ids = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for file, split, low, high in _runs(batch):
+            if split_of != (file, split):
+                split_of, record = (file, split), None
+                open_, depth = batch.column(3)[low].as_py(), batch.column(4)[low].as_py()
+            for at in range(low, high):
+                before, was_open = depth, open_
+                open_, more = scanner.step(open_, pieces[at])
+                depth += more
+                tag = "" if was_open else scanner.tag(pieces[at])
+                if before not in (1, 2) or tag[:1] in ("", "!", "?", "/"):
+                    continue
+                name = _NAME.match(tag).group().rsplit(":", 1)[-1]
+                attributes = [a.rsplit(":", 1)[-1] for a in _ATTRIBUTE.findall(tag)]
+                if before == 1:
+                    record = name
+                    note(record, None, (file, ids[at], 0), 1)
+                    for k, a in enumerate(attributes):
+                        note(record, a, (file, ids[at], k))
+                elif record is not None:
+                    for k, a in enumerate(attributes):
+                        note(record, f"{name}.{a}", (file, ids[at], k))
+                    note(record, name, (file, ids[at], len(attributes)))
+    rows = [(tag, column, n, *place) for (tag, column), (n, place) in found.items()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+        zip(*rows) if rows else [[]] * 6, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))],
+        ["tag", "column", "n", "file", "row", "k"])
+
+
+def tag_outline(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((tag, column, n, place), (_source_file, depth)): the tags below the roots with the columns their records name, in
+    which NULL stands for the tag itself, and how deep the text is nested at the end of each file: 0 if it is well-formed."""
+    scanner = XmlTags()
+    states, with_states = _placed(pieces.select("value", SOURCE_FILE, ROW_ID), scanner)
+    rows = with_states(states).mapInArrow(lambda b: _tag_outline(scanner, b),
+                                          "tag string, column string, n long, file string, row long, k long")
+    outline = rows.groupBy("tag", "column").agg(F.sum("n").alias("n"), F.min(F.struct("file", "row", "k")).alias("place"))
+    ends = states.groupBy(SOURCE_FILE).agg(F.max_by("depth_after", "split").alias("depth"), F.max("depth_after").alias("deepest"),
+                                           F.min("depth_after").alias("least"))
+    return outline, ends
+
+
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int, int]]:
     """(file, split, first row, row behind the last) of the runs of rows of one split."""
     files, ids = batch.column(1), batch.column(2).to_numpy()
@@ -193,26 +272,30 @@ def _rows(found: list) -> pa.RecordBatch:
                                       ["record", SOURCE_FILE, ROW_ID, "began"])
 
 
-def records(pieces: DataFrame, scanner) -> DataFrame:
-    """(record, _source_file, _row_id) of (value, _source_file, _row_id), a text scan with ``with_row_order``.
-
-    A record has the row id of its first piece. A quoted value that never ends runs to the end of its file, as one record.
-    """
-    pieces = pieces.select("value", SOURCE_FILE, ROW_ID)
-    states = _start_states(pieces.mapInArrow(lambda b: _border_states(scanner, b), _BORDER_STATES))
-    states = durable(states)  # one row a split
+def _placed(pieces: DataFrame, scanner):
+    """The start states of all splits, and a function that gives the pieces of some of them, in order, with their state."""
+    states = durable(_start_states(pieces.mapInArrow(lambda b: _border_states(scanner, b), _BORDER_STATES)))  # one row a split
     few = states.count() <= BROADCAST_SPLITS
     placed = pieces.withColumn("split", F.shiftright(F.col(ROW_ID), _SPLIT_BITS))
 
     def with_states(some: DataFrame) -> DataFrame:
         chosen = some.select(SOURCE_FILE, "split", "open", "depth")
-        return placed.join(F.broadcast(chosen) if few else chosen, [SOURCE_FILE, "split"]).select("value", SOURCE_FILE, ROW_ID, "open", "depth")
-    in_order = with_states(states) if few else with_states(states).sortWithinPartitions(SOURCE_FILE, ROW_ID)
-    whole = in_order.mapInArrow(lambda b: _cut(scanner, False, b), _CUT)
+        joined = placed.join(F.broadcast(chosen) if few else chosen, [SOURCE_FILE, "split"])
+        joined = joined.select("value", SOURCE_FILE, ROW_ID, "open", "depth")
+        return joined if few else joined.sortWithinPartitions(SOURCE_FILE, ROW_ID)
+    return states, with_states
+
+
+def records(pieces: DataFrame, scanner) -> DataFrame:
+    """(record, _source_file, _row_id) of (value, _source_file, _row_id), a text scan with ``with_row_order``.
+
+    A record has the row id of its first piece. A quoted value that never ends runs to the end of its file, as one record.
+    """
+    states, with_states = _placed(pieces.select("value", SOURCE_FILE, ROW_ID), scanner)
+    whole = with_states(states).mapInArrow(lambda b: _cut(scanner, False, b), _CUT)
     # Only splits that start or end inside a record have fragments.
     inside = states.where(~_starts(scanner, "open", "depth") | ~_starts(scanner, "open_after", "depth_after"))
-    at_borders = with_states(inside) if few else with_states(inside).sortWithinPartitions(SOURCE_FILE, ROW_ID)
-    fragments = at_borders.mapInArrow(lambda b: _cut(scanner, True, b), _CUT)
+    fragments = with_states(inside).mapInArrow(lambda b: _cut(scanner, True, b), _CUT)
     order = Window.partitionBy(SOURCE_FILE).orderBy(ROW_ID)
     opener = F.last(F.when(F.col("began"), F.col(ROW_ID)), ignorenulls=True).over(order)
     joined = (fragments.withColumn("opener", F.coalesce(opener, F.col(ROW_ID))).groupBy(SOURCE_FILE, "opener")

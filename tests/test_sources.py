@@ -280,3 +280,18 @@ def test_states_meet_pieces_by_either_join(spark, tmp_path, small_splits, monkey
     monkeypatch.setattr(splits, "BROADCAST_SPLITS", 10 ** 6 if few else 0)
     path = put(tmp_path, "j.csv", "id,text,note\n" + quoted_rows(150))
     assert [int(v[0]) for v in values(read_raw(spark, path), "id")] == list(range(150))
+
+
+def test_xml_records_over_many_splits_without_a_tag(spark, tmp_path, small_splits):
+    items = "".join(f'<x:item id="{i}" n:kind="k"><name lang="en">n{i}</name><!-- > <no> --><box w="1"><in>{i}</in></box>'
+                    f'<raw><![CDATA[a > b]]></raw>{"<flag/>" if i % 2 else ""}</x:item>\n' for i in range(120))
+    text = f'<?xml version="1.0"?>\n<!DOCTYPE shop>\n<shop open="yes"><note>x</note>{items}<note>y</note></shop>'
+    df = read_raw(spark, put(tmp_path, "many.xml", text.replace("x:item", "item").replace("n:kind", "kind")))
+    assert df.columns[:5] == ["id", "kind", "name", "box.w", "raw"] or df.columns[:4] == ["id", "kind", "name", "box.w"]
+    assert sorted(int(r["id"]) for r in df.collect()) == list(range(120))
+    assert {(r["kind"], r["box.w"], r["raw"]) for r in df.select("kind", F.col("`box.w`"), "raw").collect()} == {("k", "1", "a > b")}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan
+    for broken in ("<a><b></a>", "<a>", "</a>"):
+        with pytest.raises(SourceError):
+            read_raw(spark, put(tmp_path, "broken.xml", broken))
