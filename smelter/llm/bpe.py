@@ -29,7 +29,7 @@ from ..session import durable, scratch_path
 from .common import fraction_below, let
 
 #: The table of frequent words: at most so many, of at most so many bytes, from about so many documents.
-FREQUENT_WORDS, FREQUENT_BYTES, WORD_SAMPLE = 1 << 19, 64, 40_000
+FREQUENT_WORDS, FREQUENT_BYTES, WORD_SAMPLE = 1 << 19, 64, 60_000
 #: Counts above this are alike when the least count of a frequent word is sought.
 _MOST_COUNT = 1 << 12
 #: Documents are put together in steps of about so many words.
@@ -51,6 +51,7 @@ class Ranks:
     slots: int
     shifts: list[int]
     ranks: list[int]
+    keys: list[int]
 
 
 def read_ranks(path: str) -> Ranks:
@@ -69,13 +70,13 @@ def read_ranks(path: str) -> Ranks:
     return Ranks(pieces, byte_ids, *_perfect_hash(pairs))
 
 
-def _perfect_hash(pairs: dict[int, int]) -> tuple[int, list[int], list[int]]:
+def _perfect_hash(pairs: dict[int, int]) -> tuple[int, list[int], list[int], list[int]]:
     """Every key has a slot of its own: keys of one bucket are shifted together until all find free slots."""
     slots = (1 << max(8, (2 * len(pairs)).bit_length())) - 1  # odd, so that strides reach many slots
     buckets: dict[int, list[int]] = {}
     for key in pairs:
         buckets.setdefault(key % _BUCKETS, []).append(key)
-    shifts, ranks = [0] * _BUCKETS, [_NONE] * slots
+    shifts, ranks, keys = [0] * _BUCKETS, [_NONE] * slots, [_NONE] * slots
     for bucket, members in sorted(buckets.items(), key=lambda b: -len(b[1])):
         for shift in range(1 << 20):
             places = [(k + shift * (1 + k % _STRIDES)) % slots for k in members]
@@ -85,8 +86,8 @@ def _perfect_hash(pairs: dict[int, int]) -> tuple[int, list[int], list[int]]:
             raise ValueError("no place found for a group of pairs")
         shifts[bucket] = shift
         for key, place in zip(members, places):
-            ranks[place] = pairs[key]
-    return slots, shifts, ranks
+            ranks[place], keys[place] = pairs[key], key
+    return slots, shifts, ranks, keys
 
 
 def _one_row(spark: SparkSession, rows: DataFrame, label: str) -> Column:
@@ -102,31 +103,28 @@ def rank_tables(spark: SparkSession, ranks: Ranks) -> Column:
     rank_of = {piece: rank for rank, piece in enumerate(ranks.pieces)}
     bytes_first = [rank_of.get(bytes([a, b]), _LAST) for a in range(256) for b in range(256)]
     whole = pa.list_(pa.int32())
+    packed = [_NONE if key == _NONE else key << _BITS | rank for key, rank in zip(ranks.keys, ranks.ranks)]
     table = pa.table({"byte_ids": pa.array([ranks.byte_ids], whole), "first": pa.array([bytes_first], whole),
-                      "shifts": pa.array([ranks.shifts], whole), "ranks": pa.array([ranks.ranks], whole),
+                      "shifts": pa.array([ranks.shifts], whole), "packed": pa.array([packed], pa.list_(pa.int64())),
                       "pieces": pa.array([[p.hex() for p in ranks.pieces]], pa.list_(pa.string()))})
     return _one_row(spark, spark.createDataFrame(table), "bpe-ranks")
 
 
 def _rank(tables: Column, ranks: Ranks, left: Column, right: Column) -> Column:
-    """The rank of a pair of tokens, or ``_LAST``. The slot of any other pair is empty or holds other bytes. Both sides
-    are looked at several times: pass variables rather than long expressions."""
+    """The rank of a pair of tokens, or ``_LAST``: a slot holds a pair above its rank, and may hold another pair or none."""
     def slot(key: Column) -> Column:
         shift = F.element_at(tables["shifts"], (key % _BUCKETS + 1).cast("int"))
         return ((key + shift * (key % _STRIDES + 1)) % ranks.slots + 1).cast("int")
-
-    def piece(i: Column) -> Column:
-        return F.element_at(tables["pieces"], (i + 1).cast("int"))
-    found = let(left * len(ranks.pieces) + right, lambda key: F.element_at(tables["ranks"], slot(key)))
-    return let(found, lambda rank: F.when(rank == _NONE, _LAST).when(
-        piece(rank) == F.concat(piece(left), piece(right)), rank).otherwise(_LAST))
+    return let(left * len(ranks.pieces) + right, lambda key: let(F.element_at(tables["packed"], slot(key)), lambda entry: F.when(
+        F.shiftright(entry, _BITS) == key, _id(entry)).otherwise(F.lit(_LAST).cast("long"))))
 
 
 def fold_word(word: Column, tables: Column, ranks: Ranks) -> Column:
     """The token ids of one word: merges of lowest rank first, the leftmost of equals.
 
     The state is one array of longs, an id in the low bits and above it the rank of its pair with the next id. A merge
-    takes two places out, puts the merged id in, and looks up two ranks.
+    takes two places out, puts the merged id in, and looks up two ranks. When no pair has a rank, a negative number goes
+    before the state, and the steps that are left do nothing.
     """
     single = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # one character a byte
 
@@ -135,8 +133,10 @@ def fold_word(word: Column, tables: Column, ranks: Ranks) -> Column:
             F.sequence(F.lit(2), F.size(codes)), F.transform(codes, lambda a, i: _packed(
                 F.when(i + 1 < F.size(codes), F.element_at(tables["first"], a * 256 + F.element_at(codes, F.least(i + 2, F.size(codes))) + 1))
                 .otherwise(_LAST), F.element_at(tables["byte_ids"], a + 1))),
-            lambda state, _: let(_lowest(state), lambda low: F.when(F.shiftright(low, 32) == _LAST, state).otherwise(
-                _merge(state, low, tables, ranks)))), lambda e: _id(e).cast("int")))
+            lambda state, _: F.when(F.element_at(state, 1) < 0, state).otherwise(let(_lowest(state), lambda low: F.when(
+                F.shiftright(low, 32) == _LAST, F.concat(F.array(F.lit(_NONE).cast("long")), state)).otherwise(
+                _merge(state, low, tables, ranks)))), lambda state: F.when(F.element_at(state, 1) < 0, F.slice(
+                    state, 2, F.size(state))).otherwise(state)), lambda e: _id(e).cast("int")))
     return F.when(F.octet_length(word) == 1, F.array(F.element_at(tables["byte_ids"], F.ascii(word) + 1))).otherwise(let(single, fold))
 
 
