@@ -29,11 +29,11 @@ from ..session import durable, scratch_path
 from .common import fraction_below, let
 
 #: The table of frequent words: at most so many, of at most so many bytes, from about so many documents.
-FREQUENT_WORDS, FREQUENT_BYTES, WORD_SAMPLE = 1 << 19, 64, 60_000
+FREQUENT_WORDS, FREQUENT_BYTES, WORD_SAMPLE = 400_000, 64, 60_000
 #: Counts above this are alike when the least count of a frequent word is sought.
 _MOST_COUNT = 1 << 12
 #: Documents are put together in steps of about so many words.
-STEP_WORDS = 1 << 19
+STEP_WORDS = 1 << 17
 _NONE = -1
 _TABLES, _CODES, _RARE, _FOLDED = "__rank_tables__", "__codes__", "__rare__", "__folded__"
 #: Bits of an id or rank in the state of a fold; the highest such number stands for no rank.
