@@ -39,6 +39,10 @@ _TABLES, _CODES, _RARE, _FOLDED = "__rank_tables__", "__codes__", "__rare__", "_
 #: Bits of an id or rank in the state of a fold; the highest such number stands for no rank.
 _BITS = 17
 _LAST = (1 << _BITS) - 1
+#: Bits of a token's first byte in the state of a fold, and where its rank begins: rank, first byte, id.
+_PLACE_BITS = 29
+_RANK_AT = _BITS + _PLACE_BITS
+_PLACE = ((1 << _PLACE_BITS) - 1) << _BITS
 _BUCKETS, _STRIDES = 30011, 7919
 
 
@@ -122,9 +126,10 @@ def _rank(tables: Column, ranks: Ranks, left: Column, right: Column) -> Column:
 def fold_word(word: Column, tables: Column, ranks: Ranks) -> Column:
     """The token ids of one word: merges of lowest rank first, the leftmost of equals.
 
-    The state is one array of longs, an id in the low bits and above it the rank of its pair with the next id. A merge
-    takes two places out, puts the merged id in, and looks up two ranks. When no pair has a rank, a negative number goes
-    before the state, and the steps that are left do nothing.
+    The state is one array of longs: an id in the low bits, above it the first byte of its token, and above that the rank of
+    its pair with the next id. So the least entry is the leftmost pair of the lowest rank, and no entry is there twice. A
+    merge takes two places out, puts the merged id in, and looks up two ranks. When no pair has a rank, a negative number
+    goes before the state, and the steps that are left do nothing. A word may have up to 2 ** 29 bytes.
     """
     single = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # one character a byte
 
@@ -132,38 +137,39 @@ def fold_word(word: Column, tables: Column, ranks: Ranks) -> Column:
         return let(F.transform(F.split(text, ""), lambda c: F.ascii(c)), lambda codes: F.transform(F.aggregate(
             F.sequence(F.lit(2), F.size(codes)), F.transform(codes, lambda a, i: _packed(
                 F.when(i + 1 < F.size(codes), F.element_at(tables["first"], a * 256 + F.element_at(codes, F.least(i + 2, F.size(codes))) + 1))
-                .otherwise(_LAST), F.element_at(tables["byte_ids"], a + 1))),
-            lambda state, _: F.when(F.element_at(state, 1) < 0, state).otherwise(let(_lowest(state), lambda low: F.when(
-                F.shiftright(low, 32) == _LAST, F.concat(F.array(F.lit(_NONE).cast("long")), state)).otherwise(
+                .otherwise(_LAST), F.shiftleft(i.cast("long"), _BITS), F.element_at(tables["byte_ids"], a + 1))),
+            lambda state, _: F.when(F.element_at(state, 1) < 0, state).otherwise(let(F.array_min(state), lambda low: F.when(
+                low >= _LAST << _RANK_AT, F.concat(F.array(F.lit(_NONE).cast("long")), state)).otherwise(
                 _merge(state, low, tables, ranks)))), lambda state: F.when(F.element_at(state, 1) < 0, F.slice(
                     state, 2, F.size(state))).otherwise(state)), lambda e: _id(e).cast("int")))
     return F.when(F.octet_length(word) == 1, F.array(F.element_at(tables["byte_ids"], F.ascii(word) + 1))).otherwise(let(single, fold))
 
 
-def _packed(rank: Column, token: Column) -> Column:
-    return F.shiftleft(rank.cast("long"), _BITS).bitwiseOR(token.cast("long"))
+def _packed(rank: Column, place: Column, token: Column) -> Column:
+    """An entry of a fold's state; ``place`` is the token's first byte, already in its bits."""
+    return F.shiftleft(rank.cast("long"), _RANK_AT).bitwiseOR(place).bitwiseOR(token.cast("long"))
 
 
 def _id(entry: Column) -> Column:
     return entry.bitwiseAND(F.lit(_LAST).cast("long"))
 
 
-def _lowest(state: Column) -> Column:
-    """The lowest rank, and in the low 32 bits its first place from 0."""
-    return F.array_min(F.transform(state, lambda e, i: F.shiftleft(F.shiftright(e, _BITS), 32).bitwiseOR(i.cast("long"))))
+def _place(entry: Column) -> Column:
+    return entry.bitwiseAND(F.lit(_PLACE).cast("long"))
 
 
-def _merge(state: Column, lowest: Column, tables: Column, ranks: Ranks) -> Column:
-    """Merge the leftmost pair of the lowest rank (which is the merged token's id) and look up its new neighbours."""
+def _merge(state: Column, least: Column, tables: Column, ranks: Ranks) -> Column:
+    """Merge the pair of the least entry, whose rank is the merged token's id, and look up the ranks with its neighbours."""
     def at(low: Column, p: Column) -> Column:
-        after = F.when(p + 1 < F.size(state), let(_id(F.element_at(state, p + 2)), lambda x: _packed(
-            _rank(tables, ranks, low, x), low))).otherwise(_packed(F.lit(_LAST), low))
+        after = F.when(p + 1 < F.size(state), _packed(
+            _rank(tables, ranks, low, _id(F.element_at(state, p + 2))), _place(least), low)).otherwise(
+            _packed(F.lit(_LAST), _place(least), low))
         rest = F.slice(state, p + 2, F.size(state))
-        return F.when(p > 1, let(_id(F.element_at(state, p - 1)), lambda x: F.concat(
-            F.slice(state, F.lit(1), p - 2), F.array(_packed(_rank(tables, ranks, x, low), x), after), rest))
+        return F.when(p > 1, let(F.element_at(state, p - 1), lambda x: F.concat(
+            F.slice(state, F.lit(1), p - 2), F.array(_packed(_rank(tables, ranks, _id(x), low), _place(x), _id(x)), after), rest))
         ).otherwise(F.concat(F.array(after), rest))
-    return let(F.shiftright(lowest, 32), lambda low: let(
-        (lowest.bitwiseAND(F.lit((1 << 32) - 1)) + 1).cast("int"), lambda p: at(low, p)))
+    return let(F.shiftright(least, _RANK_AT), lambda low: let(
+        F.array_position(state, least).cast("int"), lambda p: at(low, p)))
 
 
 def _word_counts(pattern: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
