@@ -198,12 +198,19 @@ def _frequent(counted: DataFrame, most: int) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class WordTable:
-    """Frequent words in order of their numbers, where each one's ids begin (and one more), and all ids."""
+class WordIds:
+    """Where the ids of each frequent word begin (and one more), all their ids, and the tokens' bytes."""
 
-    words: list[str]
     starts: np.ndarray
     ids: np.ndarray
+    pieces: list[bytes]
+
+
+@dataclass(frozen=True)
+class WordNumbers:
+    """Frequent words in order of their numbers. Tasks that cut texts need these alone."""
+
+    words: list[str]
     key: str
 
     def numbers(self) -> dict[str, int]:
@@ -217,7 +224,7 @@ class WordTable:
 _NUMBERS: dict[str, dict[str, int]] = {}
 
 
-def _cut(table: WordTable, pattern: str, names: list[str], source: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(table: WordNumbers, pattern: str, names: list[str], source: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add each text's words as codes, a frequent word's number or -1 - k for the k-th different other word, and those words."""
     split, number = regex.compile(pattern).findall, table.numbers().get
     for batch in batches:
@@ -238,7 +245,7 @@ def _cut(table: WordTable, pattern: str, names: list[str], source: int, batches:
         yield pa.RecordBatch.from_arrays([*kept, coded, others], [*names, _CODES, _RARE])
 
 
-def _put_together(table: WordTable, pieces: list[bytes], names: list[str], coded: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _put_together(table: WordIds, names: list[str], coded: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace codes and folded words by the ids in order and the bytes they stand for."""
     for batch in batches:
         n, start = batch.num_columns, 0
@@ -255,14 +262,14 @@ def _put_together(table: WordTable, pieces: list[bytes], names: list[str], coded
             own_starts = words.offsets.to_numpy() - (words.offsets.to_numpy()[0] if len(words.offsets) else 0)
             starts = np.concatenate([table.starts[:-1], len(table.ids) + own_starts])
             ids = np.concatenate([table.ids, words.flatten().to_numpy().astype(np.int32)])
-            place = np.where(codes < 0, len(table.words) + np.repeat(before, counts) - 1 - codes, codes)
+            place = np.where(codes < 0, len(table.starts) - 1 + np.repeat(before, counts) - 1 - codes, codes)
             sizes = np.concatenate([np.diff(table.starts), np.diff(own_starts)])[place]
             out_ends = np.append(0, np.cumsum(sizes))
             out = ids[np.repeat(starts[place] - out_ends[:-1], sizes) + np.arange(out_ends[-1])]
             bounds = out_ends[np.append(0, np.cumsum(counts))]
             listed, decoded = out.tolist(), []
             for low, high in zip(bounds[:-1], bounds[1:]):
-                decoded.append(b"".join([pieces[i] for i in listed[low:high]]))
+                decoded.append(b"".join([table.pieces[i] for i in listed[low:high]]))
             both = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out)),
                                                pa.array(decoded, pa.binary())], ["ids", "decoded"])
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(n - 2)], both], [*names, coded])
@@ -275,7 +282,7 @@ class ByteBpe:
     def __init__(self, spark: SparkSession, ranks_path: str, pattern: str) -> None:
         self.spark, self.pattern, self.ranks = spark, pattern, read_ranks(ranks_path)
         self._tables = rank_tables(spark, self.ranks)
-        self.table = WordTable([], np.zeros(1, np.int64), np.zeros(0, np.int32), "")
+        self.words, self.word_ids = WordNumbers([], ""), WordIds(np.zeros(1, np.int64), np.zeros(0, np.int32), self.ranks.pieces)
 
     def _folded(self, rows: DataFrame, word: str, ids: str) -> DataFrame:
         """``rows`` with the ids of a column of words, or of a column of lists of words."""
@@ -297,20 +304,20 @@ class ByteBpe:
         self._folded(_frequent(counted, FREQUENT_WORDS), "word", "ids").select("word", "ids").write.parquet(path)
         found = self.spark.read.parquet(path).toArrow().combine_chunks()  # at most FREQUENT_WORDS rows of bounded size
         ids = found.column("ids").combine_chunks()
-        self.table = WordTable(found.column("word").to_pylist(), ids.offsets.to_numpy().astype(np.int64),
-                               ids.flatten().to_numpy().astype(np.int32), path)
+        self.words = WordNumbers(found.column("word").to_pylist(), path)
+        self.word_ids = WordIds(ids.offsets.to_numpy().astype(np.int64), ids.flatten().to_numpy().astype(np.int32), self.ranks.pieces)
 
     def encode(self, docs: DataFrame, text: str, coded: str = "coded", keep_text: bool = True) -> DataFrame:
         """``docs`` with a struct of ``ids``, the token ids of a text without special tokens, and ``decoded``, the bytes
         they decode to. A NULL text is empty."""
-        shared = self.spark.sparkContext.broadcast((self.table, self.ranks.pieces))
+        words, word_ids = map(self.spark.sparkContext.broadcast, (self.words, self.word_ids))
         names, pattern = [c for c in docs.columns if c != coded and (keep_text or c != text)], self.pattern
         source, kept = docs.columns.index(text), [docs.schema[c] for c in names]
         schema = T.StructType([*kept, T.StructField(_CODES, T.ArrayType(T.IntegerType())), T.StructField(_RARE, T.ArrayType(T.StringType()))])
-        cut = docs.mapInArrow(lambda b: _cut(shared.value[0], pattern, names, source, b), schema)
+        cut = docs.mapInArrow(lambda b: _cut(words.value, pattern, names, source, b), schema)
         folded = self._folded(cut, _RARE, _FOLDED).select(*[F.col(quoted(c)) for c in names], _CODES, _FOLDED)
         both = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
-        return folded.mapInArrow(lambda b: _put_together(shared.value[0], shared.value[1], names, coded, b),
+        return folded.mapInArrow(lambda b: _put_together(word_ids.value, names, coded, b),
                                  T.StructType([*kept, T.StructField(coded, both)]))
 
     def decode(self, docs: DataFrame, ids: str, decoded: str = "decoded") -> DataFrame:
