@@ -13,8 +13,9 @@ A fold copies its state at each merge: a word of n bytes takes time in proportio
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -172,9 +173,35 @@ def _merge(state: Column, least: Column, tables: Column, ranks: Ranks) -> Column
         F.array_position(state, least).cast("int"), lambda p: at(low, p)))
 
 
+#: Classes of a pattern as they are within ASCII, and notations that the quicker library reads in another way.
+_ASCII_CLASSES = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
+_OTHER_NOTATION = (r"\p", r"\P", "[:", "--", "&&", "||", "~~")
+
+
+def word_cutter(pattern: str) -> Callable[[str], list[str]]:
+    """The function that cuts a text into words. ASCII texts go through a quicker library, with the pattern's letter and
+    number classes spelt out, if it can read the pattern; the words are the same."""
+    general = regex.compile(pattern).findall
+
+    def spelt_out(part: str, inside: bool) -> str:
+        for name, members in _ASCII_CLASSES.items():
+            part = part.replace(name, members if inside else f"[{members}]")
+        return part
+
+    parts = re.split(r"(\[(?:\\.|[^\]\\])*\])", pattern)  # every second part is a class in brackets
+    plain = "".join(spelt_out(p, i % 2 == 1) for i, p in enumerate(parts))
+    if any(mark in plain for mark in _OTHER_NOTATION):
+        return general
+    try:
+        ascii_only = re.compile(plain, re.ASCII).findall
+    except re.error:
+        return general
+    return lambda text: ascii_only(text) if text.isascii() else general(text)
+
+
 def _word_counts(pattern: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n): how often each word occurs in a batch of texts, for words that the table may take."""
-    split = regex.compile(pattern).findall
+    split = word_cutter(pattern)
     for batch in batches:
         counts = Counter()
         for text in batch.column(0):
@@ -203,7 +230,7 @@ class WordIds:
 
     starts: np.ndarray
     ids: np.ndarray
-    pieces: list[bytes]
+    pieces: pa.Array
 
 
 @dataclass(frozen=True)
@@ -226,7 +253,7 @@ _NUMBERS: dict[str, dict[str, int]] = {}
 
 def _cut(table: WordNumbers, pattern: str, names: list[str], source: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add each text's words as codes, a frequent word's number or -1 - k for the k-th different other word, and those words."""
-    split, number = regex.compile(pattern).findall, table.numbers().get
+    split, number = word_cutter(pattern), table.numbers().get
     for batch in batches:
         codes, code_ends, rare, rare_ends = [], [0], [], [0]
         for text in batch.column(source):
@@ -245,6 +272,16 @@ def _cut(table: WordNumbers, pattern: str, names: list[str], source: int, batche
         yield pa.RecordBatch.from_arrays([*kept, coded, others], [*names, _CODES, _RARE])
 
 
+def _joined(pieces: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of the tokens between each two bounds: taken one after the other, they lie joined already."""
+    if not len(ids):
+        return pa.array([b""] * (len(bounds) - 1), pa.binary())
+    taken = pieces.take(pa.array(ids))
+    _, ends, data = taken.buffers()
+    ends = np.frombuffer(ends, np.int32)[taken.offset:taken.offset + len(ids) + 1]
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends[bounds]), data])
+
+
 def _put_together(table: WordIds, names: list[str], coded: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace codes and folded words by the ids in order and the bytes they stand for."""
     for batch in batches:
@@ -267,11 +304,8 @@ def _put_together(table: WordIds, names: list[str], coded: str, batches: Iterabl
             out_ends = np.append(0, np.cumsum(sizes))
             out = ids[np.repeat(starts[place] - out_ends[:-1], sizes) + np.arange(out_ends[-1])]
             bounds = out_ends[np.append(0, np.cumsum(counts))]
-            listed, decoded = out.tolist(), []
-            for low, high in zip(bounds[:-1], bounds[1:]):
-                decoded.append(b"".join([table.pieces[i] for i in listed[low:high]]))
             both = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out)),
-                                               pa.array(decoded, pa.binary())], ["ids", "decoded"])
+                                               _joined(table.pieces, out, bounds)], ["ids", "decoded"])
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(n - 2)], both], [*names, coded])
 
 
@@ -282,7 +316,8 @@ class ByteBpe:
     def __init__(self, spark: SparkSession, ranks_path: str, pattern: str) -> None:
         self.spark, self.pattern, self.ranks = spark, pattern, read_ranks(ranks_path)
         self._tables = rank_tables(spark, self.ranks)
-        self.words, self.word_ids = WordNumbers([], ""), WordIds(np.zeros(1, np.int64), np.zeros(0, np.int32), self.ranks.pieces)
+        self.pieces = pa.array(self.ranks.pieces, pa.binary())
+        self.words, self.word_ids = WordNumbers([], ""), WordIds(np.zeros(1, np.int64), np.zeros(0, np.int32), self.pieces)
 
     def _folded(self, rows: DataFrame, word: str, ids: str) -> DataFrame:
         """``rows`` with the ids of a column of words, or of a column of lists of words."""
@@ -305,7 +340,7 @@ class ByteBpe:
         found = self.spark.read.parquet(path).toArrow().combine_chunks()  # at most FREQUENT_WORDS rows of bounded size
         ids = found.column("ids").combine_chunks()
         self.words = WordNumbers(found.column("word").to_pylist(), path)
-        self.word_ids = WordIds(ids.offsets.to_numpy().astype(np.int64), ids.flatten().to_numpy().astype(np.int32), self.ranks.pieces)
+        self.word_ids = WordIds(ids.offsets.to_numpy().astype(np.int64), ids.flatten().to_numpy().astype(np.int32), self.pieces)
 
     def encode(self, docs: DataFrame, text: str, coded: str = "coded", keep_text: bool = True) -> DataFrame:
         """``docs`` with a struct of ``ids``, the token ids of a text without special tokens, and ``decoded``, the bytes

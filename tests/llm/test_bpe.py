@@ -5,6 +5,7 @@ import re
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -61,6 +62,31 @@ def test_ids_do_not_depend_on_the_table_of_frequent_words(make_docs, exact):
     assert bare == {r["doc_id"]: r["coded"]["ids"] for r in coder.encode(docs, "text").collect()}
 
 
+def test_words_are_cut_alike_by_both_libraries():
+    draw = random.Random(5)
+    chars = [chr(c) for c in range(128)] + [" ", "\n", "'", "s", "1"] * 8
+    texts = ["".join(draw.choices(chars, k=draw.randrange(14))) for _ in range(20_000)] + ODD
+    patterns = [public_tokenizers.PATTERN, r"(?i:'s|'t)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s+",
+                r"[\]\p{L}]+|\[|.", r"\p{Lu}+|\P{L}|.", r"[\p{L}--[a-z]]|."]
+    for pattern in patterns:
+        cut, plain = bpe.word_cutter(pattern), regex.compile(pattern).findall
+        assert all(cut(t) == plain(t) for t in texts), pattern
+
+
+def test_equal_ranks_merge_from_the_left(spark, tmp_path):
+    """Several splits of one token, side by side, in every word of three letters up to nine long."""
+    tokens = [bytes([b]) for b in range(256)] + [b"aa", b"aaa", b"ab", b"ba", b"aba", b"bab", b"abab", b"aaaa", b"cab"]
+    path = tmp_path / "ties"
+    path.write_text("\n".join(f"{base64.b64encode(t).decode()} {i}" for i, t in enumerate(tokens)))
+    exact = tiktoken.Encoding("ties", pat_str=r"\S+", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    draw = random.Random(6)
+    texts = [" ".join("".join(draw.choices("aabbc", k=draw.randrange(1, 10))) for _ in range(300)) for _ in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    coder = bpe.ByteBpe(spark, str(path), r"\S+")
+    for r in coder.encode(docs, "text").collect():
+        assert r["coded"]["ids"] == exact.encode_ordinary(texts[r["doc_id"]])
+
+
 def test_every_pair_of_a_vocabulary_has_a_place_of_its_own(tmp_path):
     tokens = [bytes([b]) for b in range(256)] + [b"ab", b"abc", b"bc", b"aa", b"aaa", b"aaaa"]
     path = tmp_path / "tiny"
