@@ -13,5 +13,6 @@ from .query import (answer_questions, dim_values, metric_query, receipts, route_
 from .rollup import distinct_rollup, rollup_metric
 from .silver import clean_silver, dedupe_all, dedupe_first, dedupe_receipt
 from .versions import version_diff
+from .wide_ridge import WideModel, fit_wide_ridge, score_wide
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -20,13 +20,18 @@ from ..functions.casts import numeric_or_zero
 from ..functions.names import col, quoted
 from ..plans.contract import GoldContract
 from ..session import durable, small_frame
+from .wide_ridge import WIDE, WideModel, category_baselines, fit_wide_ridge, score_wide
 
 BIAS = "_bias"
-MAX_FEATURES = 2048  # the Gram matrix is solved on the driver; more features are refused, not cut off
+MAX_FEATURES = 2048  # the Gram matrix is solved on the driver; beyond that the weights are a table
 _DENSE_LIMIT = 15
 _POSITION_MASK = (1 << 33) - 1
 
 
+class TooManyFeatures(ValueError):
+    """More features than the driver solves for: :func:`~.wide_ridge.fit_wide_ridge` has no such limit."""
+
+
 @dataclass(frozen=True)
 class FeatureSchema:
     """Frozen feature order: bias, numbers, one indicator per category but the first (the baseline)."""
@@ -54,6 +59,10 @@ class LinearModel:
     trained_on: str = ""
     version: str = "v1"
 
+    @property
+    def target(self) -> str:
+        return self.schema.target
+
     @property
     def hash(self) -> str:
         return "sha256:" + hashlib.sha256(json.dumps(self.weights).encode()).hexdigest()[:16]
@@ -126,7 +135,7 @@ def build_schema(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
         vocabulary = category_vocabulary(df, categorical)
         rows = vocabulary.limit(MAX_FEATURES + len(categorical) + 1).collect()
         if len(rows) > MAX_FEATURES + len(categorical):
-            raise ValueError(f"more than {MAX_FEATURES} categories: leave out high-cardinality features")
+            raise TooManyFeatures(f"more than {MAX_FEATURES} categories")
         for r in sorted(rows, key=lambda r: (r["column"], r["value"])):
             if r["is_baseline"]:
                 baseline[r["column"]] = r["value"]
@@ -134,7 +143,7 @@ def build_schema(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
                 categories[r["column"]].append(r["value"])
     schema = FeatureSchema(target, list(numeric), categories, baseline)
     if len(schema.feature_names) > MAX_FEATURES:
-        raise ValueError(f"more than {MAX_FEATURES} features")
+        raise TooManyFeatures(f"more than {MAX_FEATURES} features")
     return schema
 
 
@@ -237,11 +246,12 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str = "prediction"
                        F.round(F.try_divide("dev", "n"), 4).alias("mae"))
 
 
-def evaluate(split: DataFrame, model: LinearModel) -> DataFrame:
+def evaluate(split: DataFrame, model: LinearModel | WideModel) -> DataFrame:
     """Metrics on the training and the held-out rows of :func:`holdout`, in one pass."""
     sides = F.array_compact(F.array(F.when(F.col("is_train"), F.lit("train")), F.when(F.col("is_test"), F.lit("test"))))
-    scored = score(split, model).withColumn("split", F.explode(sides))
-    return regression_metrics(scored, model.schema.target, by=["split"])
+    predict = score_wide if isinstance(model, WideModel) else score
+    scored = predict(split, model).withColumn("split", F.explode(sides))
+    return regression_metrics(scored, model.target, by=["split"])
 
 
 def input_violations(df: DataFrame, schema: FeatureSchema, keep: Sequence[str] = ()) -> DataFrame:
@@ -261,19 +271,24 @@ def input_violations(df: DataFrame, schema: FeatureSchema, keep: Sequence[str] =
 
 
 def train(fact: DataFrame, contract: GoldContract, target: str | None = None, lam: float = 1.0,
-          k: int = 5) -> tuple[LinearModel, DataFrame]:
+          k: int = 5) -> tuple[LinearModel | WideModel, DataFrame]:
     """Fit on a gold fact: predict ``target`` (default: the last measure) from the other measures and the
-    dimensions. Returns the model and its train and test metrics."""
+    dimensions. Returns the model and its train and test metrics. With more features than ``MAX_FEATURES`` the model is a
+    :class:`~.wide_ridge.WideModel`, solved by conjugate gradients."""
     if not contract.measures:
         raise ValueError(f"{contract.table} has no measure to predict")
     goal = target if target in contract.measures else contract.measures[-1]
     numeric = [m for m in contract.measures if m != goal]
     split = holdout(fact, [contract.grain, *contract.dims], k)
-    schema = build_schema(split, numeric, contract.dims, goal)
-    model = fit_ridge(split.where("is_train"), schema, lam, f"gold.{contract.table}")
+    source, training = f"gold.{contract.table}", split.where("is_train")
+    try:
+        model = fit_ridge(training, build_schema(split, numeric, contract.dims, goal), lam, source)
+    except TooManyFeatures:
+        model = fit_wide_ridge(training, numeric, contract.dims, goal, lam, trained_on=source,
+                               baseline=category_baselines(split, contract.dims))
     return model, evaluate(split, model)
 
 
-__all__ = ["BIAS", "FeatureSchema", "LinearModel", "MAX_FEATURES", "build_features", "build_schema",
+__all__ = ["BIAS", "FeatureSchema", "LinearModel", "MAX_FEATURES", "TooManyFeatures", "build_features", "build_schema",
            "category_vocabulary", "evaluate", "fit_ridge", "gram_cells", "holdout", "input_violations",
            "regression_metrics", "score", "train", "with_row_index"]

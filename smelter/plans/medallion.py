@@ -6,6 +6,7 @@ before. What the driver holds is metadata: profiles, contracts, metric definitio
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -99,16 +100,23 @@ class MedallionRun:
         contract = pick_fact(self.contracts, fact)
         model, evaluation = learn.train(self.table("gold", contract.table), contract, target, lam)
         evaluation = pinned(evaluation)
-        self._replace("model", *audit.model_rows(evaluation, model.schema.target, model.trained_on))
-        where = f"{self.base}/models/{model.schema.target}"
-        save_json(small_frame(self.spark, [(model.to_json(), model.hash, model.coefficients())],
+        self._replace("model", *audit.model_rows(evaluation, model.target, model.trained_on))
+        where = f"{self.base}/models/{model.target}"
+        wide = isinstance(model, learn.WideModel)
+        if wide:
+            land_table(model.weights, f"{where}/weights")
+        save_json(small_frame(self.spark, [(model.to_json(), model.hash, None if wide else model.coefficients())],
                               "model string, hash string, coefficients map<string,double>"), f"{where}/model")
         save_json(evaluation, f"{where}/evaluation")
         return model, evaluation
 
-    def model(self, target: str) -> learn.LinearModel:
+    def model(self, target: str) -> learn.LinearModel | learn.WideModel:
         """A model that an earlier ``learn`` stored."""
-        return learn.LinearModel.from_json(self.spark.read.json(f"{self.base}/models/{target}/model").first()["model"])
+        where = f"{self.base}/models/{target}"
+        text = self.spark.read.json(f"{where}/model").first()["model"]
+        if json.loads(text)["kind"] == learn.WIDE:
+            return learn.WideModel.from_json(text, self.spark.read.parquet(f"{where}/weights"))
+        return learn.LinearModel.from_json(text)
 
     def seal(self) -> None:
         """Work out each stage's contract from its checks and store the audit tables."""
