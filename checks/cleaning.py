@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from smelter.functions import (blank_to_null, flatten_nested, is_date, is_datetime, list_to_json, norm_date,
                                numeric_or_zero, stringify)
 from smelter.operators import (cast_bronze, clean_silver, dedupe_all, dedupe_first, dedupe_receipt, version_diff)
+from smelter.session import scratch_path
+from smelter.streaming import dedupe_stream, first_rows
 
 from .registry import as_text, query, table
 
@@ -100,6 +102,20 @@ def silver_dedupe_key(spark, sf_dir):
     return dedupe_first(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], _ORDER)
 
 
+@query("stream_dedupe_events", """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
+    PARTITION BY user_id, event_type ORDER BY ts NULLS FIRST, event_id) AS rn FROM events) WHERE rn = 1""")
+def stream_dedupe_events(spark, sf_dir):
+    """The first event of each user and kind, from a stream of two arrivals with a restart in between."""
+    path = scratch_path(spark, "stream-first")
+    events = table(spark, sf_dir, "events")
+    middle = events.agg(F.timestamp_seconds(F.avg(F.unix_timestamp("ts"))).alias("m")).first()["m"]
+    for arrival in ((F.col("ts") < F.lit(middle)) | F.col("ts").isNull(), F.col("ts") >= F.lit(middle)):
+        events.where(arrival).write.mode("append").parquet(f"{path}/arrivals")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/arrivals")
+        dedupe_stream(stream, ["user_id", "event_type"], path, f"{path}/checkpoint", ["ts", "event_id"]).awaitTermination()
+    return first_rows(spark, path)
+
+
 @query("silver_dedupe_receipt", """SELECT 'lineitem' AS "table", count(*) AS bronze_rows,
     count(DISTINCT (l_orderkey, l_linenumber)) AS silver_rows,
     count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS dropped, 'pass' AS result FROM lineitem""")
