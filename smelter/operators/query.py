@@ -19,6 +19,8 @@ BREAKDOWN_WORDS = ("by ", "per ", "across ", "for each ", "grouped by ", "breakd
 TOP_WORDS = ("top ", "best ", "highest ", "most ")
 BOTTOM_WORDS = ("bottom ", "worst ", "lowest ", "least ")
 DEFAULT_LIMIT = 10
+#: Value tables up to so many rows and bytes are sent to every task; larger ones are met in a shuffle, off the driver.
+FEW_VALUES, FEW_BYTES = 20_000, 4 << 20
 
 
 def metric_query(fact: DataFrame, metric: Metric, breakdown: str | None = None,
@@ -102,8 +104,11 @@ def _named_values(texts: DataFrame, values: DataFrame, whole_words: bool) -> Dat
     spelled = values.select("dim", "value", (F.trim(_phrase(F.col("value"))) if whole_words else F.lower("value")).alias("_gram"))
     spelled = durable(spelled.where("_gram <> ''"))  # read twice: the value table is worked out once
     size = F.size(F.split("_gram", " ")) if whole_words else F.char_length("_gram")
-    longest = spelled.agg(F.coalesce(F.max(size), F.lit(1))).first()[0]
+    longest, number, weight = spelled.agg(F.coalesce(F.max(size), F.lit(1)), F.count(F.lit(1)), F.coalesce(F.sum(
+        F.octet_length("_gram") + F.octet_length("value")), F.lit(0))).first()
     grams = texts.select("_text", F.explode(_grams(F.col("_text"), F.lit(longest), whole_words)).alias("_gram"))
+    # Names compress well: by the bytes of its shuffle, a table that fills the driver's memory would seem small.
+    spelled = F.broadcast(spelled) if number <= FEW_VALUES and weight <= FEW_BYTES else spelled.hint("merge")
     return (grams.join(spelled, "_gram").groupBy("_text", "dim").agg(F.min("value").alias("value"))
             .groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_found")))
 
@@ -132,7 +137,7 @@ def route_questions(questions: DataFrame, metrics: Sequence[Metric], dims: Seque
     routed = questions.withColumns({
         "_q": F.lower(col(question)), "_text": _phrase(col(question)) if whole_words else F.lower(col(question))})
     found = _named_values(routed.select("_text").distinct(), values, whole_words)
-    routed = routed.join(found, "_text", "left").withColumns({
+    routed = routed.join(found.hint("merge"), "_text", "left").withColumns({  # up to a row a question: not for the driver
         "metric": _longest(q, terms), "breakdown": breakdown, "_asked": asked, "_wanted": wanted,
         "order": F.when(_has_any(q, BOTTOM_WORDS), "asc").otherwise("desc"),
         "filters": F.coalesce("_found", F.from_json(F.lit("[]"), "array<struct<dim:string,value:string>>"))})

@@ -224,6 +224,20 @@ def test_routing_words(spark):
     assert [(f["dim"], f["value"]) for f in loose[0]["filters"]] == [("promo", "0")]
 
 
+def test_very_many_values_stay_off_the_driver(spark):
+    """Neither the value table nor what was found of it is broadcast; few values are, and the rows are those of either way."""
+    names = spark.range(25_000).select(F.lit("who").alias("dim"), F.format_string("Name#%09d", "id").alias("value"))
+    asked = names.select(F.concat(F.lit("gmv for "), "value", F.lit(" please")).alias("question"), "value")
+    routed = route_questions(asked, [Metric("gmv", "sum", measure="v")], ["who"], names)
+    assert routed.where("answered and size(filters) = 1 and filters[0].value = value").count() == 25_000
+    routed.collect()
+    plan = routed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    few = route_questions(asked.limit(50), [Metric("gmv", "sum", measure="v")], ["who"], names.limit(50))
+    few.collect()
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+
+
 def test_value_dictionary_is_whole_and_sorted(spark):
     fact = spark.range(300).select(F.format_string("v%03d", F.col("id")).alias("a"), (F.col("id") % 2 == 0).alias("b"))
     other = small_frame(spark, [("zz",), (None,)], "a string")
