@@ -80,9 +80,11 @@ def _best_split(cells: dict, penalty: float, least: float, rate: float) -> Split
 
 def fit(rows: DataFrame, rounds: int = 12, depth: int = 2, rate: float = 0.4, penalty: float = 1.0,
         least: float = 0.5) -> Ensemble:
-    """Fit to ``rows`` (features array<int>, label 0/1) under the logistic loss. Store ``rows`` before: each level of
-    each tree reads them once. Without rows of both labels the ensemble is a constant."""
-    positive, n = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
+    """Fit to ``rows`` (features array<int>, label 0/1) under the logistic loss; a column ``n``, if there, says how many
+    equal rows one stands for. Store ``rows`` before: each level of each tree reads them once. Without rows of both
+    labels the ensemble is a constant."""
+    weight = F.col("n") if "n" in rows.columns else F.lit(1)
+    positive, n = rows.agg(F.coalesce(F.sum(F.col("label") * weight), F.lit(0)), F.coalesce(F.sum(weight), F.lit(0))).first()
     model = Ensemble(math.log((positive + 0.5) / (n - positive + 0.5)))
     if positive in (0, n):
         return model
@@ -91,7 +93,7 @@ def fit(rows: DataFrame, rounds: int = 12, depth: int = 2, rate: float = 0.4, pe
         p = model.probability(features)
         tree: Split | float | None = None
         for level in range(depth):
-            sums = (rows.select(_node(tree, features).alias("node"), (p - F.col("label")).alias("g"), (p * (1 - p)).alias("h"),
+            sums = (rows.select(_node(tree, features).alias("node"), ((p - F.col("label")) * weight).alias("g"), (p * (1 - p) * weight).alias("h"),
                                 F.posexplode(features).alias("feature", "value"))
                     .groupBy("node", "feature", "value").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect())
             nodes: dict = {}

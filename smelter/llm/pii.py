@@ -1,10 +1,9 @@
 """Personal data: generators propose spans, boosted trees weigh them, calibrated thresholds select.
 
 Base rules find e-mail addresses, IP addresses, card numbers and phone numbers; their spans always stay. Beside them,
-generators with high recall propose further spans, which may overlap. The trees learn from proposals of a bounded
-sample of documents how format and context tell personal data, and a threshold per kind is set on documents the trees
-have not seen. A proposal is positive if a base rule confirms it or its format and cue do, whatever base rules say;
-plausible ones that nothing confirms teach nothing. A prior of made-up lines whose spans are known joins both samples, so
+generators with high recall propose further spans, which may overlap. The trees learn from the proposals of all
+documents but one in so many how format and context tell personal data, and a threshold per kind is set on those others. A proposal is positive if a base rule confirms it or its format and cue do, whatever base rules say;
+plausible ones that nothing confirms teach nothing. A prior of made-up lines whose spans are known joins both parts, so
 that trees and thresholds are there on small tables too. Every span beyond the base rules' has reached the threshold of
 its kind. Everything is SQL expressions over one row: no shuffle, no Python.
 
@@ -13,7 +12,6 @@ Patterns are written so that a match never backtracks into what it has read: a v
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,8 +42,8 @@ PROPOSED = {
 GUARDS = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ .-]?[0-9]){11}", "phone": r"[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]"}
 CUES = {"email": r"(?i)mail|contact|write", "ip": r"(?i)\bip\b|host|addr|server", "card": r"(?i)card|visa|pay|credit|account",
         "phone": r"(?i)tel|phone|call|fax|mobile|contact"}
-#: Trees learn from the proposals of about this many documents, at most; one in so many sets the thresholds.
-SAMPLE_DOCUMENTS, CALIBRATION_EVERY = 20_000, 4
+#: One document in so many sets the thresholds; the trees learn from the others.
+CALIBRATION_EVERY = 4
 LEAST_PRECISION, LEAST_CONFIRMED = 0.98, 20
 #: Positive and negative made-up lines a kind; half of them train, half calibrate.
 PRIOR_LINES = 48
@@ -248,22 +246,20 @@ class PiiModel:
             ~_kind(s, "phone") | ~_touches(b, s)) & self.selects(s)))
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCUMENTS) -> PiiModel:
-    """Fit trees and thresholds on the proposals of a sample of at most about ``sample`` documents."""
-    total = docs.count()
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> PiiModel:
+    """Fit trees and thresholds on the proposals of all documents."""
     drawn = F.xxhash64(F.col(doc_id), F.col(text), F.lit("pii"))  # rows without an id are told apart by their texts
-    share = min(1.0, sample / max(total, 1))
     plain = F.coalesce(F.col(text), F.lit(""))
-    chosen = (docs.where(F.pmod(drawn, F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
-              .select(base_spans(plain).alias("base"), proposals(plain).alias("proposed"),
-                      (F.pmod(F.shiftright(drawn, 32), F.lit(CALIBRATION_EVERY)) == 0).alias("calibrates")))
-    rows = durable(chosen.select("calibrates", "base", F.explode("proposed").alias("span"))
+    read = docs.select(base_spans(plain).alias("base"), proposals(plain).alias("proposed"),
+                       (F.pmod(F.shiftright(drawn, 32), F.lit(CALIBRATION_EVERY)) == 0).alias("calibrates"))
+    rows = durable(read.select("calibrates", "base", F.explode("proposed").alias("span"))
                    .select("calibrates", F.col("span.kind").alias("kind"), features(F.col("span")).alias("features"),
                            label(F.col("span"), F.col("base")).alias("label"))
-                   .where("label is not null").unionByName(_prior(docs.sparkSession)))
-    trees = boosting.fit(rows.where("not calibrates").select("features", "label"))
-    scores = (rows.where("calibrates").select("kind", "label", F.floor(trees.probability(F.col("features")) * 1000).alias("score"))
-              .groupBy("kind", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("confirmed")).collect())
+                   .where("label is not null").unionByName(_prior(docs.sparkSession))
+                   .groupBy("calibrates", "kind", "features", "label").agg(F.count(F.lit(1)).alias("n")))  # formats repeat
+    trees = boosting.fit(rows.where("not calibrates").select("features", "label", "n"))
+    scores = (rows.where("calibrates").select("kind", "label", "n", F.floor(trees.probability(F.col("features")) * 1000).alias("score"))
+              .groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("confirmed")).collect())
     return PiiModel(trees, {kind: limit for number, kind in enumerate(KINDS) if (limit := _threshold(
         {r["score"]: (r["n"], r["confirmed"]) for r in scores if r["kind"] == number})) is not None})
 
