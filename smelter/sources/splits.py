@@ -26,6 +26,15 @@ _CUT = f"record string, {SOURCE_FILE} string, {ROW_ID} long, began boolean"
 _SPLIT_BITS = 33
 
 
+def _steps(scanner, open_: bool, pieces: list[str]) -> tuple[bool, int]:
+    """The state behind many pieces, one after the other, and how much deeper brackets are."""
+    deeper = 0
+    for piece in pieces:
+        open_, more = scanner.step(open_, piece)
+        deeper += more
+    return open_, deeper
+
+
 class QuotedLines:
     """Lines of delimited text: a record starts where no quoted value is open. A quote opens a value only where a field
     starts, ``""`` inside one is a quote, and what follows a closing quote belongs to the field."""
@@ -53,6 +62,9 @@ class QuotedLines:
         at = self.fields.match(line, at).end()
         return line.startswith('"', at) and self.closing.match(line, at + 1) is None, 0
 
+    def steps(self, open_: bool, lines: list[str]) -> tuple[bool, int]:
+        return _steps(self, open_, lines)
+
     def starts(self, open_: bool, depth: int) -> bool:
         return not open_
 
@@ -82,6 +94,10 @@ class ArrayElements:
             after = False
         return after, piece.count("[") + piece.count("{") - piece.count("]") - piece.count("}")
 
+    def steps(self, open_: bool, pieces: list[str]) -> tuple[bool, int]:
+        """All pieces at once: what crosses a comma is only an open string, which the text as a whole shows as well."""
+        return self.step(open_, ",".join(pieces))
+
     def starts(self, open_: bool, depth: int) -> bool:
         return not open_ and depth == 1
 
@@ -110,6 +126,9 @@ class XmlTags:
             return False, 0
         return False, -1 if tag.startswith("/") else 0 if tag.endswith("/") else 1
 
+    def steps(self, open_: bool, pieces: list[str]) -> tuple[bool, int]:
+        return _steps(self, open_, pieces)
+
     @staticmethod
     def tag(piece: str) -> str:
         """What the piece has behind its ``<``: of a piece that ends a text with ``<`` signs in a comment, the first."""
@@ -192,13 +211,7 @@ def _border_states(scanner, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Re
         rows = []
         for file, split, low, high in _runs(batch):
             pieces = batch.column(0).slice(low, high - low).to_pylist()
-            ends, deeper = [False, True], [0, 0]
-            for h in (0, 1):
-                state = ends[h]
-                for piece in pieces:
-                    state, more = scanner.step(state, piece)
-                    deeper[h] += more
-                ends[h] = state
+            ends, deeper = zip(*[scanner.steps(start, pieces) for start in (False, True)])
             rows.append((file, split, place, *ends, *deeper))
             place += 1
         yield pa.RecordBatch.from_arrays(
