@@ -40,9 +40,10 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     coder = bpe.ByteBpe(spark, public_tokenizers.path(RANKS_FILE), public_tokenizers.PATTERN)
     rows = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
     coder.learn_frequent_words(rows.select(F.col("doc_id").alias("key"), "text"))
-    coded = coder.encode(rows, "text")
+    # A text's digest goes with its codes, not the text: a batch of texts is held by the step that cuts them alone.
+    coded = coder.encode(rows.withColumn("digest", F.sha2("text", 256)), "text", keep_text=False, stored=True)
     return coded.select("doc_id", "source", "lang", F.size("coded.ids").cast("long").alias("n_tokens"), "coded.ids",
-                        (F.col("coded.decoded") == F.col("text").cast("binary")).alias("intact"))
+                        (F.sha2("coded.decoded", 256) == F.col("digest")).alias("intact"))
 
 
 STAGES = [("toxicity", without_toxic_documents), ("simhash near-dedup", without_near_duplicates),

@@ -252,24 +252,31 @@ _NUMBERS: dict[str, dict[str, int]] = {}
 
 
 def _cut(table: WordNumbers, pattern: str, names: list[str], source: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add each text's words as codes, a frequent word's number or -1 - k for the k-th different other word, and those words."""
+    """Add each text's words as codes, a frequent word's number or -1 - k for the k-th different other word, and those words.
+
+    A batch leaves in steps of about STEP_WORDS words, so that no codes of a whole batch are held beside its texts.
+    """
     split, number = word_cutter(pattern), table.numbers().get
     for batch in batches:
-        codes, code_ends, rare, rare_ends = [], [0], [], [0]
-        for text in batch.column(source):
-            words = split(text.as_py() or "")
-            found = list(map(number, words))
-            if None in found:
-                own: dict[str, int] = {}
-                found = [-1 - own.setdefault(w, len(own)) if c is None else c for w, c in zip(words, found)]
-                rare += own
-            codes.append(np.array(found, np.int32))
-            code_ends.append(code_ends[-1] + len(found))
-            rare_ends.append(len(rare))
-        coded = pa.ListArray.from_arrays(pa.array(code_ends, pa.int32()), pa.array(np.concatenate(codes) if codes else [], pa.int32()))
-        others = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array(rare, pa.string()))
-        kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n in names]
-        yield pa.RecordBatch.from_arrays([*kept, coded, others], [*names, _CODES, _RARE])
+        texts, kept = batch.column(source), [batch.column(i) for i, n in enumerate(batch.schema.names) if n in names]
+        start = 0
+        while start < batch.num_rows:
+            codes, code_ends, rare, rare_ends, stop = [], [0], [], [0], start
+            while stop < batch.num_rows and code_ends[-1] < STEP_WORDS:
+                words = split(texts[stop].as_py() or "")
+                found = list(map(number, words))
+                if None in found:
+                    own: dict[str, int] = {}
+                    found = [-1 - own.setdefault(w, len(own)) if c is None else c for w, c in zip(words, found)]
+                    rare += own
+                codes.append(np.array(found, np.int32))
+                code_ends.append(code_ends[-1] + len(found))
+                rare_ends.append(len(rare))
+                stop += 1
+            coded = pa.ListArray.from_arrays(pa.array(code_ends, pa.int32()), pa.array(np.concatenate(codes), pa.int32()))
+            others = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array(rare, pa.string()))
+            yield pa.RecordBatch.from_arrays([*[c.slice(start, stop - start) for c in kept], coded, others], [*names, _CODES, _RARE])
+            start = stop
 
 
 def _joined(pieces: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -342,15 +349,23 @@ class ByteBpe:
         self.words = WordNumbers(found.column("word").to_pylist(), path)
         self.word_ids = WordIds(ids.offsets.to_numpy().astype(np.int64), ids.flatten().to_numpy().astype(np.int32), self.pieces)
 
-    def encode(self, docs: DataFrame, text: str, coded: str = "coded", keep_text: bool = True) -> DataFrame:
+    def encode(self, docs: DataFrame, text: str, coded: str = "coded", keep_text: bool = True, stored: bool = False) -> DataFrame:
         """``docs`` with a struct of ``ids``, the token ids of a text without special tokens, and ``decoded``, the bytes
-        they decode to. A NULL text is empty."""
+        they decode to. A NULL text is empty.
+
+        ``stored`` writes the words' codes and folded ids to the shared folder in between: a task then needs one Python
+        worker at a time instead of two, for some disk and time.
+        """
         words, word_ids = map(self.spark.sparkContext.broadcast, (self.words, self.word_ids))
         names, pattern = [c for c in docs.columns if c != coded and (keep_text or c != text)], self.pattern
         source, kept = docs.columns.index(text), [docs.schema[c] for c in names]
         schema = T.StructType([*kept, T.StructField(_CODES, T.ArrayType(T.IntegerType())), T.StructField(_RARE, T.ArrayType(T.StringType()))])
         cut = docs.mapInArrow(lambda b: _cut(words.value, pattern, names, source, b), schema)
         folded = self._folded(cut, _RARE, _FOLDED).select(*[F.col(quoted(c)) for c in names], _CODES, _FOLDED)
+        if stored:
+            path = scratch_path(self.spark, "bpe-codes")
+            folded.write.parquet(path)
+            folded = self.spark.read.parquet(path)
         both = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
         return folded.mapInArrow(lambda b: _put_together(word_ids.value, names, coded, b),
                                  T.StructType([*kept, T.StructField(coded, both)]))

@@ -110,3 +110,18 @@ def test_the_most_frequent_words_are_taken(spark):
     taken = {r["word"] for r in bpe._frequent(counted, 55).collect()}
     assert "often" in taken and {f"w{i}" for i in range(150, 200)} <= taken and len(taken) <= 61
     assert bpe._frequent(counted, 1000).count() == 201
+
+
+def test_texts_are_cut_in_steps_and_tasks_need_one_worker_at_a_time(make_docs, exact, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(bpe, "STEP_WORDS", 7)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(40)), "text": ["a few words here"] * 39 + [None]})
+    steps = list(bpe._cut(bpe.WordNumbers(["a"], "steps"), public_tokenizers.PATTERN, ["id"], 1, [batch]))
+    assert [s.num_rows for s in steps] == [2] * 20 and [i for s in steps for i in s.column(0).to_pylist()] == list(range(40))
+    docs = make_docs([(i, t) for i, t in enumerate(ODD)] + [(100, None)])
+    coder = bpe.ByteBpe(docs.sparkSession, PATH, public_tokenizers.PATTERN)
+    coded = coder.encode(docs.select("doc_id", "text"), "text", keep_text=False, stored=True)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "aggregate(" not in plan
+    assert {r["doc_id"]: r["coded"]["ids"] for r in coded.collect()} == {
+        **{i: exact.encode_ordinary(t) for i, t in enumerate(ODD)}, 100: []}

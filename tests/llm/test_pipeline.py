@@ -37,3 +37,13 @@ def test_stages_in_order_and_effect(spark, tmp_path):
 def test_every_operator_is_registered():
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in QUERIES)] == []
     assert "pipeline" in QUERIES and set(ORACLES) <= set(QUERIES)
+
+
+def test_encoding_carries_digests_beside_codes_and_no_texts(spark):
+    docs = spark.createDataFrame([(1, "naïve café, twice  over", "fr", "s"), (2, None, "en", "s"), (2, "x" * 70, "en", None)],
+                                 "doc_id long, text string, lang string, source string")
+    coded = corpus_pipeline.encoded(spark, docs, "")
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "text#" not in plan
+    rows = coded.collect()
+    assert len(rows) == 3 and all(r["intact"] and r["n_tokens"] == len(r["ids"]) for r in rows)
