@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from smelter.operators import (contract_rows, dedupe_first, dedupe_receipt, detect_pii, governance_verdict, inherit,
                                lineage_outputs, lineage_roots, pii_register, profile_columns, quality_checks,
                                quality_scoreboard, reconcile)
-from smelter.session import pinned
+from smelter.session import durable, pinned
 
 from .cleaning import _ORDER
 from .gold import LINEITEM_FACT_SQL, ORDERS_FACT_SQL, lineitem_fact, orders_fact
@@ -33,7 +33,7 @@ _QUALITY_SQL = (
 
 def _quality(spark, sf_dir):
     """Quality rows of three stages: profiles, de-duplication and completeness, reconciliation."""
-    profiles = inherit(*[profile_columns(as_text(table(spark, sf_dir, n)), n) for n in QUALITY_TABLES])
+    profiles = inherit(*[profile_columns(as_text(table(spark, sf_dir, n)), n, by_column=True) for n in QUALITY_TABLES])
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     bronze = quality_checks(profiles).select(F.lit("bronze").alias("stage"), F.lit(0).alias("stage_no"), "check", "result")
     receipt = dedupe_receipt(lines, dedupe_first(lines, ["l_orderkey", "l_linenumber"], _ORDER), "lineitem")
@@ -45,8 +45,9 @@ def _quality(spark, sf_dir):
                 .select(F.lit("silver").alias("stage"), F.lit(1).alias("stage_no"),
                         F.concat(F.lit("orders."), "o_orderpriority", F.lit(" have lines")).alias("check"),
                         F.when(F.col("ok"), "pass").otherwise("fail").alias("result")))
-    sums = reconcile(orders, orders_fact(spark, sf_dir), ["o_totalprice"]).withColumn("t", F.lit("orders")).unionByName(
-        reconcile(lines, lineitem_fact(spark, sf_dir), _MEASURES).withColumn("t", F.lit("lineitem")))
+    # A fact is read more than once: it is stored, as gold is, and not built anew each time.
+    sums = reconcile(orders, durable(orders_fact(spark, sf_dir)), ["o_totalprice"]).withColumn("t", F.lit("orders")).unionByName(
+        reconcile(lines, durable(lineitem_fact(spark, sf_dir)), _MEASURES).withColumn("t", F.lit("lineitem")))
     gold = sums.select(F.lit("gold").alias("stage"), F.lit(2).alias("stage_no"),
                        F.concat(F.lit("gold.agg_"), "t", F.lit("_daily reconciles "), "measure").alias("check"), "result")
     return inherit(bronze, silver, complete, gold)

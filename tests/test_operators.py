@@ -485,3 +485,19 @@ def test_evaluation_covers_both_sides(spark):
     model = fit_ridge(split.where("is_train"), FeatureSchema("y", ["a"], {}, {}), lam=0.0)
     got = {r["split"]: (r["n"], r["r2"]) for r in evaluate(split, model).collect()}
     assert got == {"train": (40, 1.0), "test": (10, 1.0)}
+
+
+def test_hundredths_add_up_as_longs_to_the_sum_that_decimals_have(spark):
+    from smelter.operators.gold import _decimal_sum, decimal_scales, exact_sums
+    money = [0.01, -0.01, 0.29, 1.1, -0.0, None, 9_999_999_999_999.99, -9_999_999_999_999.98, 0.07, 123456.78, -5e-324 * 0]
+    mixed = [0.1 + 0.2, 1 / 3, 2.0, None, 1e-9, 5.25, -7.125, 0.0, 1e12, 3.0, 4.0]
+    large = [1e15, 0.5, 0.25, None, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]
+    df = spark.createDataFrame(list(zip(money, mixed, large, [None] * 11)), "money double, mixed double, large double, none double")
+    names = df.columns
+    sums = exact_sums(df, names)
+    expected = df.agg(*[_decimal_sum(m, decimal_scales(df, names)[m]).cast("double").alias(m) for m in names]).first()
+    assert df.agg(*[sums[m].alias(m) for m in names]).first() == expected
+    plans = {m: df.agg(sums[m])._jdf.queryExecution().optimizedPlan().toString() for m in names}
+    assert [m for m in names if "decimal(38," not in plans[m].split("Project")[-1].split("Aggregate")[-1] and "shiftright" in plans[m]] == ["money", "none"]
+    broken = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.0,)], "v double")
+    assert exact_sums(broken, ["v"]) == {}

@@ -193,3 +193,20 @@ def test_personal_data_are_found_beyond_the_first_rows(spark):
     df = frame(spark, {"reach": ["-" if i < 100 else f"u{i}@example.com" for i in range(n)],
                        "few": ["-" if i % 3 else f"u{i}@example.com" for i in range(n)]})
     assert {(r["column"], r["class"]) for r in detect_pii(df, profile_columns(df, "t"), "t").collect()} == {("reach", "email")}
+
+
+def test_a_table_stored_by_column_is_profiled_column_by_column(spark, collect, tmp_path):
+    frame(spark, COLUMNS).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    by_column = profile_columns(stored, "t", by_column=True)
+    assert collect(by_column, "ordinal") == collect(profile_columns(stored, "t"), "ordinal")
+    assert collect(profile_columns(stored.limit(0), "t", by_column=True), "ordinal") == collect(profile_columns(stored.limit(0), "t"), "ordinal")
+    plan = by_column._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("ReadSchema: struct<") == plan.count("FileScan parquet") == len(COLUMNS)
+    assert all("," not in part.split(">")[0] for part in plan.split("ReadSchema: struct<")[1:])
+
+
+def test_governance_profiles_by_column_and_reads_stored_facts(spark):
+    from checks.governance import _quality
+    plan = _quality(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "ExistingRDD" in plan
